@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, urls
+from . import chat, lines, mixing, rules, urls
 from .common import table
 
 
@@ -24,9 +24,27 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(table(spark, sf_dir, "documents")).select("doc_id", "line_count", "removed_lines", "text")
+
+
+#: Query and SQL; None where SQL cannot express the operator.
+ALL = {
+    "op1_mixing": (op1_mixing, mixing.ORACLE_SQL),
+    "op2_quality_rules": (op2_quality_rules, rules.ORACLE_SQL),
+    "op7_chat_format": (op7_chat_format, chat.ORACLE_SQL),
+    "op8_url_filter": (op8_url_filter, urls.ORACLE_SQL),
+    "op10_line_dedup": (op10_line_dedup, lines.ORACLE_SQL),
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op7_chat_format": op7_chat_format, "op8_url_filter": op8_url_filter}
+    return {name: query for name, (query, _) in ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.ORACLE_SQL, "op7_chat_format": chat.ORACLE_SQL, "op8_url_filter": urls.ORACLE_SQL}
+    return {name: sql for name, (_, sql) in ALL.items() if sql}
