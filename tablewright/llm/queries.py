@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, lines, mixing, rules, simhash, urls
+from . import chat, lines, mixing, rules, simhash, topk, urls
 from .common import table
 
 
@@ -32,6 +32,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.search(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(table(spark, sf_dir, "documents")).select("doc_id", "line_count", "removed_lines", "text")
 
@@ -41,6 +46,7 @@ ALL = {
     "op1_mixing": (op1_mixing, mixing.ORACLE_SQL),
     "op2_quality_rules": (op2_quality_rules, rules.ORACLE_SQL),
     "op4_simhash": (op4_simhash, None),
+    "op5_topk": (op5_topk, topk.ORACLE_SQL),
     "op7_chat_format": (op7_chat_format, chat.ORACLE_SQL),
     "op8_url_filter": (op8_url_filter, urls.ORACLE_SQL),
     "op10_line_dedup": (op10_line_dedup, lines.ORACLE_SQL),
