@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, lines, mixing, rules, simhash, topk, urls
+from . import chat, lines, mixing, quality, rules, simhash, topk, toxicity, urls
 from .common import table
 
 
@@ -37,6 +38,18 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents")).select("doc_id", "votes", "score", "kept")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True))
+    labels = table(spark, sf_dir, "labels").where(~held_out).select("doc_id", "toxic")
+    scores = toxicity.score(docs, toxicity.fit(docs, labels))
+    return scores.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(table(spark, sf_dir, "documents")).select("doc_id", "line_count", "removed_lines", "text")
 
@@ -45,10 +58,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 ALL = {
     "op1_mixing": (op1_mixing, mixing.ORACLE_SQL),
     "op2_quality_rules": (op2_quality_rules, rules.ORACLE_SQL),
+    "op3_quality_classifier": (op3_quality_classifier, None),
     "op4_simhash": (op4_simhash, None),
     "op5_topk": (op5_topk, topk.ORACLE_SQL),
     "op7_chat_format": (op7_chat_format, chat.ORACLE_SQL),
     "op8_url_filter": (op8_url_filter, urls.ORACLE_SQL),
+    "op9_toxicity": (op9_toxicity, None),
     "op10_line_dedup": (op10_line_dedup, lines.ORACLE_SQL),
 }
 
