@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lines, mixing, quality, rules, simhash, topk, toxicity, urls
+from . import bpe, chat, lines, mixing, quality, rules, simhash, topk, toxicity, urls
 from .common import table
 
 
@@ -42,6 +42,17 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents")).select("doc_id", "votes", "score", "kept")
 
 
+def tokenizer_path() -> str:
+    """The file that the driver's contract names."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True))
@@ -61,6 +72,7 @@ ALL = {
     "op3_quality_classifier": (op3_quality_classifier, None),
     "op4_simhash": (op4_simhash, None),
     "op5_topk": (op5_topk, topk.ORACLE_SQL),
+    "op6_bpe": (op6_bpe, None),
     "op7_chat_format": (op7_chat_format, chat.ORACLE_SQL),
     "op8_url_filter": (op8_url_filter, urls.ORACLE_SQL),
     "op9_toxicity": (op9_toxicity, None),
