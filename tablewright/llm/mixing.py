@@ -123,6 +123,17 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     return summed.unionByName(empty).select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), F.col("taken").cast("long").alias("taken"))
 
 
+def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of `docs`, each as often as the mix takes it (never, once or twice; the one document of
+    a source that is taken in part, by what is nearer). Rows equal in id, source and size share what
+    they are taken."""
+    took = mix(docs, doc_id, text, source, block_words).where("size > 0").groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"))
+    took = took.agg(F.round(F.avg(F.col("taken") / F.col("size"))).cast("int").alias("__times")).where("__times > 0")
+    same = F.col(doc_id).eqNullSafe(F.col("__id")) & F.col(source).cast("string").eqNullSafe(F.col("__source")) & (n_words(F.col(text)) == F.col("__size"))
+    rows = docs.join(took, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
+    return rows.drop("__id", "__source", "__size", "__times", "__copy")
+
+
 #: The same mix without schedule or blocks: `words` words of a circular stream take a document's
 #: words once for each whole round, and once more where the rest of a round reaches it.
 ORACLE_SQL = r"""

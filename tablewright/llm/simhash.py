@@ -188,9 +188,124 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return docs_fp.join(labels, F.col("fp") == F.col("f")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+# --- documents alike in most of their shingles ------------------------------------------------------
+#
+# Three differing bits of 64 are next to nothing: of texts that share four fifths of their five-word
+# shingles, one in seven bits differs. For such documents the same index is built over a wider
+# fingerprint, of PARTS times 64 bits in three segments each. Copies meet under a key if any of the
+# segments differs in at most one bit, which nearly all do, and are verified on the whole fingerprint.
+
+PARTS, SEGMENT = 3, 21
+#: Differing bits of 64 * PARTS at which texts share four fifths of their shingles.
+ALIKE_BITS = 32
+
+
+def signature(text: str | None, width: int = 5) -> np.ndarray:
+    """PARTS unsigned numbers; the first is the fingerprint. Further parts take each shingle's hash
+    through a mixing of its own."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(PARTS, np.uint64)
+    n = max(1, len(words) - width + 1)
+    shingles = map(b" ".join, zip(*[words[i:] for i in range(width)], strict=False)) if len(words) > width else [b" ".join(words)]
+    h = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64, n)
+    out = np.zeros(PARTS, np.uint64)
+    for part in range(PARTS):
+        if part:
+            h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        ones = np.zeros(64, np.int64)
+        for at in range(0, n, 65_536):
+            ones += np.unpackbits(h[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[part] = np.packbits(2 * ones > n, bitorder="little").view("<u8")[0]
+    return out
+
+
+def _node(parts: np.ndarray) -> int:
+    """A signature's name as a signed long."""
+    return xxhash.xxh64_intdigest(parts.tobytes()) - (1 << 63)
+
+
+def _signatures(width: int):
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            sig = np.array([signature(t.as_py(), width) for t in b.column(1)], np.uint64).reshape(-1, PARTS)
+            parts = [pa.array(np.ascontiguousarray(sig[:, i]).view(np.int64)) for i in range(PARTS)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_node(x) for x in sig], pa.int64()), *parts], names=["doc_id", "node", *(f"p{i}" for i in range(PARTS))])
+
+    return batches
+
+
+def near_wide(values: np.ndarray, most: int = ALIKE_BITS) -> list[tuple[int, int]]:
+    """As near(), over rows of PARTS numbers; places, not values."""
+    rest, out = np.arange(len(values)), []
+    while len(rest) > 1:
+        root, front, rest = rest[0], rest[:1], rest[1:]
+        while len(front) and len(rest):
+            hit = np.zeros(len(rest), bool)
+            for f in range(0, len(front), 64):
+                todo = np.nonzero(~hit)[0]
+                d = np.bitwise_count(values[front[f : f + 64], None, :] ^ values[rest[todo]][None, :, :]).sum(axis=2, dtype=np.int64)
+                hit[todo[(d <= most).any(axis=0)]] = True
+            front, rest = rest[hit], rest[~hit]
+            out += [(int(x), int(root)) for x in front]
+    return out
+
+
+def _alike(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (parts, key) sorted by key, as for _forests."""
+    last, kept = None, []
+
+    def batch(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([_node(p[i]) for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    def forest(parts: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        values = np.unique(np.concatenate(parts), axis=0)
+        return [(values[x], values[y]) for x, y in near_wide(values)]
+
+    for b in it:
+        if not b.num_rows:
+            continue
+        columns = [np.ascontiguousarray(c.to_numpy(zero_copy_only=False)) for c in b.columns]
+        sig = np.stack([c.view(np.uint64) for c in columns[:PARTS]], axis=1)
+        keys = columns[PARTS]
+        starts = np.concatenate([[0], np.nonzero(keys[1:] != keys[:-1])[0] + 1])
+        ends = np.concatenate([starts[1:], [b.num_rows]])
+        inner, size = np.arange(1, len(starts) - 1), ends - starts
+        two = starts[inner[size[inner] == 2]]
+        d = np.bitwise_count(sig[two] ^ sig[two + 1]).sum(axis=1, dtype=np.int64)
+        pairs = [(sig[i], sig[i + 1]) for i in two[(d <= ALIKE_BITS) & (d > 0)]]
+        for g in [0, *inner[size[inner] > 2], *([len(starts) - 1] if len(starts) > 1 else [])]:
+            if (key := keys[starts[g]]) != last:
+                if kept:
+                    pairs += forest(kept)
+                last, kept = key, []
+            kept.append(sig[starts[g] : ends[g]])
+        yield batch(pairs)
+    if kept:
+        yield batch(forest(kept))
+
+
+def alike(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
+    """doc_id, component_id (smallest doc_id of the component): components of documents whose
+    `width`-word shingles are the same to four fifths or more, as the wide fingerprint estimates it."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    parts = [f"p{i}" for i in range(PARTS)]
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    docs_sig = cut(rows.mapInArrow(_signatures(width), f"doc_id {kind}, node long, " + ", ".join(f"{p} long" for p in parts)))
+    classes = cut(docs_sig.groupBy("node", *parts).agg(F.min("doc_id").alias("first")))
+    variants = [f"transform({_variants(p, SEGMENT, s)}, x -> cast(x.wild + {10_000 * i + 1} as long) * {1 << SEGMENT}L + x.part)" for i, p in enumerate(parts) for s in range(0, 63, SEGMENT)]
+    keys = classes.selectExpr(*parts, f"explode(concat({', '.join(variants)})) as key")
+    links = keys.repartition("key").sortWithinPartitions("key").mapInArrow(_alike, "a long, b long")
+    roots = cut(components(links)).withColumnsRenamed({"node": "n", "root": "r"})
+    rooted = classes.join(roots, F.col("node") == F.col("n"), "left").select("node", "first", F.coalesce("r", "node").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    labels = cut(rooted.join(least, "root").select(F.col("node").alias("n"), "component_id"))
+    return docs_sig.join(labels, F.col("node") == F.col("n")).select("doc_id", "component_id")
+
+
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
-    """The rows of `docs` whose doc_id is the smallest of its component; of repeated rows with that
+    """The rows of `docs` with the smallest doc_id of their component; of repeated rows with that
     doc_id, all stay. A null doc_id stays."""
-    found = near_duplicates(docs, doc_id, text, width)
-    lost = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__lost")).distinct()
-    return docs.join(lost, docs[doc_id] == F.col("__lost"), "left_anti")
+    lost = alike(docs, doc_id, text, width).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__lost")).distinct()
+    return docs.join(lost, F.col(doc_id) == F.col("__lost"), "left_anti")
