@@ -640,12 +640,12 @@ def word_vectors(spark, t):
     return X.word_vectors(spark, p, 3).select("token", F.size("vector").alias("n"), F.aggregate("vector", F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
-@query("select * from (values (date '2020-01-01', 12), (date '2020-01-03', -5)) v(day, v)")
+@query("select * from (values ('2020-01-01', 12), ('2020-01-03', -5)) v(day, v)")
 def daily_fixed_width(spark, t):
     """SRC14, FLT04."""
     cells = "".join(f"{v:5d}   " for v in [12, -9999, -5] + [-9999] * 28)
     p = _put(spark, f"USW00000001202001TMAX{cells}\n")
-    return X.daily_fixed_width(spark, p).select(F.col("date").alias("day"), F.col("value").alias("v"))
+    return X.daily_fixed_width(spark, p).select(F.col("date").cast("string").alias("day"), F.col("value").alias("v"))
 
 
 @query("select * from (values (1, 'a<b', 2.5), (2, null, 4.0)) v(Id, Name, Score)")
