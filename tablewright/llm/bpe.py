@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import bucketed
 
 #: Text of a chunk, and distinct words whose ids a bucket's task keeps; beyond it, it starts anew and
 #: may encode a word again. Buckets follow spark.sql.shuffle.partitions, which is sized to the data.
@@ -108,10 +108,13 @@ def _unpack(blob: bytes, n: int) -> list[np.ndarray]:
 
 
 _ROW = "chunk long, bucket int, doc_id {id}, places binary, words binary"
+#: What stands in `bucket` of the rows that are no words: places of a document's words, ranks of a chunk's words.
+DOC, RANKS = -1, -2
 
 
 def _chunks(path: str, buckets: int):
-    """Rows of documents (bucket -1: places of their words) and of a chunk's words (by bucket)."""
+    """Rows of documents (places of their words, as ranks), of a chunk's words by bucket, in order of
+    the words, and one of the ranks of these words."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         specials, plain, number = _specials(path), {}, 0
@@ -121,34 +124,32 @@ def _chunks(path: str, buckets: int):
         ids: list[pa.Array] = []
         size = 0
 
+        def rows(chunk: int, bucket: list[int], doc_ids: pa.Array, places: list[bytes | None], words: list[bytes | None]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([chunk] * len(bucket), pa.int64()), pa.array(bucket, pa.int32()), doc_ids, pa.array(places, pa.binary()), pa.array(words, pa.binary())], names=["chunk", "bucket", "doc_id", "places", "words"])
+
         def close() -> Iterator[pa.RecordBatch]:
             nonlocal index, docs, ids, size, number, plain
-            words = list(index)
-            times = np.zeros(len(words), np.int64)
+            chunk = first + number
+            raw = [w.encode() for w in index]
+            times = np.zeros(len(raw), np.int64)
             for d in docs:
                 np.add.at(times, d, 1)
-            rank = np.empty(len(words), np.uint32)  # frequent words get small numbers, which pack well
-            rank[np.argsort(-times, kind="stable")] = np.arange(len(words), dtype=np.uint32)
-            raw = [w.encode() for w in words]
-            bucket = np.fromiter((xxhash.xxh32_intdigest(w) % buckets for w in raw), np.int64, len(raw))
-            chunk = first + number
-            ids_type = ids[0].type if ids else pa.int64()
-            flat = pa.concat_arrays(ids) if ids else pa.array([], ids_type)
+            rank = np.empty(len(raw), np.uint32)  # frequent words get small numbers, which pack well
+            rank[np.argsort(-times, kind="stable")] = np.arange(len(raw), dtype=np.uint32)
             for s in range(0, len(docs), 1000):
                 part = docs[s : s + 1000]
-                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(part), pa.int64()), pa.array([-1] * len(part), pa.int32()), flat.slice(s, len(part)), pa.array([_pack(rank[d]) for d in part], pa.binary()), pa.array([None] * len(part), pa.binary())], names=names)
-            order = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            rows = [(b, order[edges[b] : edges[b + 1]]) for b in range(buckets) if edges[b] < edges[b + 1]]
-            for s in range(0, len(rows), 64):
-                part = rows[s : s + 64]
-                places = [_pack(rank[o], np.array([len(raw[i]) for i in o])) for _, o in part]
-                texts = [zstandard.compress(b"".join(raw[i] for i in o), 1) for _, o in part]
-                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(part), pa.int64()), pa.array([b for b, _ in part], pa.int32()), pa.nulls(len(part), ids_type), pa.array(places, pa.binary()), pa.array(texts, pa.binary())], names=names)
+                yield rows(chunk, [DOC] * len(part), pa.concat_arrays(ids[s : s + 1000]), [_pack(rank[d]) for d in part], [None] * len(part))
+            mine: list[list[int]] = [[] for _ in range(buckets)]
+            for i in sorted(range(len(raw)), key=raw.__getitem__):
+                mine[xxhash.xxh32_intdigest(raw[i]) % buckets].append(i)
+            yield rows(chunk, [RANKS], pa.nulls(1, ids[0].type), [_pack(rank[[i for m in mine for i in m]])], [None])
+            full = [(b, m) for b, m in enumerate(mine) if m]
+            for s in range(0, len(full), 64):
+                part = full[s : s + 64]
+                yield rows(chunk, [b for b, _ in part], pa.nulls(len(part), ids[0].type), [_pack(np.array([len(raw[i]) for i in m])) for _, m in part], [zstandard.compress(b"".join(raw[i] for i in m), 6) for _, m in part])
             index, docs, ids, size, plain = {}, [], [], 0, {}
             number += 1
 
-        names = ["chunk", "bucket", "doc_id", "places", "words"]
         for b in it:
             for i, t in enumerate(b.column(1)):
                 text = t.as_py() or ""
@@ -174,7 +175,7 @@ def _encode_buckets(path: str):
             for bucket, places, words in zip(b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
                 if bucket != last or len(known) > MOST_WORDS:
                     known, last = {}, bucket
-                rank, sizes = _unpack(places.as_py(), 2)
+                sizes = _unpack(places.as_py(), 1)[0]
                 raw, at, mine = zstandard.decompress(words.as_py()), 0, []
                 for n in sizes.tolist():
                     mine.append(raw[at : at + n])
@@ -183,56 +184,52 @@ def _encode_buckets(path: str):
                 for w, e in zip(new, tok.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
                     known[w] = e.ids
                 got = [known[w] for w in mine]
-                out.append(_pack(rank, np.fromiter(map(len, got), np.uint32, len(got)), np.fromiter((x for g in got for x in g), np.uint32)))
+                out.append(_pack(np.fromiter(map(len, got), np.uint32, len(got)), np.fromiter((x for g in got for x in g), np.uint32)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], names=["chunk", "bucket", "places"])
 
     return run
 
 
-def _positions(id_type: pa.DataType):
-    """The ids of a chunk's words come first, then its documents: (doc_id, ids)."""
+def _positions(id_type: pa.DataType, then: tuple):
+    """Of one chunk: its documents' places and words' ranks, and the ids of its words by bucket."""
+
+    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
+        words = words.sort_by("bucket")
+        sizes, flat = [], []
+        for blob in words.column("places"):
+            lens, ids = _unpack(blob.as_py(), 2)
+            sizes.append(lens)
+            flat.append(ids)
+        ids = np.concatenate([np.zeros(0, np.uint32), *flat]).astype(np.int32)
+        lens = np.concatenate([np.zeros(0, np.uint32), *sizes]).astype(np.int64)
+        kind = docs.column("bucket").to_numpy()
+        rank = _unpack(docs.column("places")[int(np.nonzero(kind == RANKS)[0][0])].as_py(), 1)[0]
+        size, begin = np.zeros(len(lens), np.int64), np.zeros(len(lens), np.int64)
+        size[rank], begin[rank] = lens, np.cumsum(lens) - lens
+
+        def batches() -> Iterator[pa.RecordBatch]:
+            doc_ids, got, n = [], [], 0
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, parts, starts, sizes, flat = None, [], None, None, None
-
-        def table():
-            n = sum(len(p[0]) for p in parts)
-            size = np.zeros(n, np.int64)
-            begin = np.zeros(n, np.int64)
-            at = 0
-            for rank, lens, ids in parts:
-                size[rank] = lens
-                begin[rank] = at + np.cumsum(lens, dtype=np.int64) - lens
-                at += len(ids)
-            return begin, size, np.concatenate([p[2] for p in parts]) if parts else np.zeros(0, np.uint32)
-
-        def batch(doc_ids, got):
-            offsets = np.concatenate([[0], np.cumsum([len(g) for g in got])]).astype(np.int32)
-            values = np.concatenate(got).astype(np.int32) if got else np.zeros(0, np.int32)
-            return pa.RecordBatch.from_arrays([pa.array(doc_ids, id_type), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["doc_id", "ids"])
+            def batch() -> pa.RecordBatch:
+                offsets = np.concatenate([[0], np.cumsum([len(g) for g in got])]).astype(np.int32)
+                return pa.RecordBatch.from_arrays([pa.array(doc_ids, id_type), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(got)))], names=["doc_id", "ids"])
 
-        for b in it:
-            doc_ids, got, n = [], [], 0
-            for chunk, bucket, doc_id, places in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if chunk != last:
-                    last, parts, starts = chunk, [], None
-                if bucket >= 0:
-                    parts.append(_unpack(places, 3))
-                    continue
-                if starts is None:
-                    starts, sizes, flat = table()
-                    parts = []
-                rank = _unpack(places, 1)[0]
-                size = sizes[rank]
-                at = np.repeat(starts[rank] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                doc_ids.append(doc_id)
-                got.append(flat[at])
-                n += len(at)
+            for i in np.nonzero(kind == DOC)[0].tolist():
+                at = _unpack(docs.column("places")[i].as_py(), 1)[0]
+                k = size[at]
+                got.append(ids[np.repeat(begin[at] - (np.cumsum(k) - k), k) + np.arange(k.sum())])
+                doc_ids.append(docs.column("doc_id")[i].as_py())
+                n += len(got[-1])
                 if n >= BATCH_IDS:
-                    yield batch(doc_ids, got)
+                    yield batch()
                     doc_ids, got, n = [], [], 0
             if doc_ids:
-                yield batch(doc_ids, got)
+                yield batch()
+
+        out = batches()
+        for f in then:
+            out = f(out)
+        return pa.Table.from_batches(out)
 
     return run
 
@@ -289,20 +286,13 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     buckets = max(LEAST_BUCKETS, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    made = cut(rows.mapInArrow(_chunks(path, buckets), _ROW.format(id=kind)))
+    made = bucketed(rows.mapInArrow(_chunks(path, buckets), _ROW.format(id=kind)), "chunk")
     words = made.where("bucket >= 0").select("chunk", "bucket", "places", "words").repartition("bucket").sortWithinPartitions("bucket")
     back = words.mapInArrow(_encode_buckets(path), "chunk long, bucket int, places binary")
-    docs_and_words = made.where("bucket < 0").select("chunk", "bucket", "doc_id", "places").unionByName(back, allowMissingColumns=True)
-    together = docs_and_words.repartition("chunk").sortWithinPartitions("chunk", F.desc("bucket"))
+    parts = made.where("bucket < 0").select("chunk", "bucket", "doc_id", "places")
     id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = _positions(id_type)(it)
-        for f in then:
-            out = f(out)
-        return out
-
-    return together.mapInArrow(run, f"doc_id {kind}, {gives}")
+    run = _positions(id_type, then)
+    return parts.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(run, f"doc_id {kind}, {gives}")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +24,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """As cut(), in buckets of `key`, so that what groups or joins by it needs no exchange of these rows."""
+    spark, name = df.sparkSession, f"cut_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("path", scratch(spark, "cut")).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).saveAsTable(name)
+    _names.append(name)
+    return spark.table(name)
+
+
+_names: list[str] = []
+
+
+@atexit.register
+def _drop() -> None:
+    """Takes the names out of the catalog; the files go by themselves."""
+    spark = SparkSession.getActiveSession()
+    for name in _names if spark is not None else []:
+        with contextlib.suppress(Exception):  # the session may have ended
+            spark.sql(f"drop table if exists {name}")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
