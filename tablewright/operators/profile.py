@@ -75,8 +75,8 @@ def summary(df: DataFrame, rsd: float = 0.02) -> dict:
 
 
 def bucket(x: Column, low: float, high: float, buckets: int = BUCKETS) -> Column:
-    """1 to `buckets`; the largest value is in the last."""
-    return F.when(x == high, buckets).otherwise(F.least(F.floor((x - low) / (high - low) * buckets) + 1, F.lit(buckets))).cast("int")
+    """1 to `buckets`, null for null; the largest value is in the last."""
+    return F.when(x == high, buckets).when(x.isNotNull(), F.least(F.floor((x - low) / (high - low) * buckets) + 1, F.lit(buckets))).cast("int")
 
 
 def _counted(df: DataFrame, cells: list[Column], value: str) -> DataFrame:
