@@ -4,7 +4,13 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def ref(name: str) -> Column:
+    """The column of exactly this name, whatever signs it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def normalised(name: str) -> str:
@@ -41,8 +47,6 @@ def renamed(df: DataFrame, how=normalised) -> DataFrame:
 def project(df: DataFrame, columns: list[str]) -> DataFrame:
     """Columns in the order asked for; "a.b" keeps the struct around b. An unknown name is refused
     with those there are; no column at all is a legal projection."""
-    from pyspark.sql import functions as F
-
     tops = {c.split(".")[0] for c in columns}
     if unknown := sorted(tops - set(df.columns)):
         import difflib
@@ -53,5 +57,5 @@ def project(df: DataFrame, columns: list[str]) -> DataFrame:
     for top in dict.fromkeys(c.split(".")[0] for c in columns):
         paths = [c.split(".", 1)[1] for c in columns if c.startswith(top + ".")]
         whole = top in columns or not paths
-        made.append(F.col(f"`{top}`") if whole else F.struct(*[F.col(f"`{top}`.{p}").alias(p.split(".")[-1]) for p in paths]).alias(top))
+        made.append(ref(top) if whole else F.struct(*[F.col(f"`{top}`.{p}").alias(p.split(".")[-1]) for p in paths]).alias(top))
     return df.select(*made)

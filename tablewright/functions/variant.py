@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .names import ref
+
 
 def parse(text: Column, strict: bool = True) -> Column:
     """JSON text as VARIANT; bad text fails, or is null if not strict. SQL NULL and JSON null differ."""
@@ -40,7 +42,7 @@ def comparable(df: DataFrame) -> DataFrame:
     """VARIANT columns as JSON text and maps as sorted entries, so that rows can be grouped and compared."""
     made = []
     for f in df.schema:
-        c = F.col(f"`{f.name}`")
+        c = ref(f.name)
         if isinstance(f.dataType, T.VariantType):
             c = F.to_json(c)
         elif isinstance(f.dataType, T.MapType):

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.names import ref
 from ..functions.types import kind, label
 
 #: Buckets of a histogram, values listed, and distinct values beyond which none are.
@@ -47,7 +48,7 @@ def summary(df: DataFrame, rsd: float = 0.02) -> dict:
     """Job A: {"rows": n, (place of column, what): value}."""
     asked = [F.count("*").alias("rows")]
     for i, f in enumerate(df.schema):
-        c, k = F.col(f"`{f.name}`"), kind(f.dataType)
+        c, k = ref(f.name), kind(f.dataType)
         add = lambda what, e, i=i: asked.append(e.alias(f"{what}{i}"))
         add("n", F.count(c))
         if k == "numeric":
@@ -91,7 +92,7 @@ def histograms(df: DataFrame, found: dict) -> dict[int, list[int]]:
     for i, f in enumerate(df.schema):
         low, high = found.get(f"low{i}"), found.get(f"high{i}")
         if low is not None and low < high:
-            x = _finite(F.col(f"`{f.name}`"), f.dataType) if kind(f.dataType) == "numeric" else _millis(F.col(f"`{f.name}`"), f.dataType).cast("double")
+            x = _finite(ref(f.name), f.dataType) if kind(f.dataType) == "numeric" else _millis(ref(f.name), f.dataType).cast("double")
             cells.append(F.struct(F.lit(i).alias("i"), bucket(x, float(low), float(high)).alias("b")))
     out: dict[int, list[int]] = {}
     for r in _counted(df, cells, "b").collect() if cells else []:  # at most BUCKETS rows for each column
@@ -101,7 +102,7 @@ def histograms(df: DataFrame, found: dict) -> dict[int, list[int]]:
 
 def top_values(df: DataFrame, found: dict, most: int = MOST_DISTINCT, top: int = TOP) -> dict[int, list[tuple[str, int]]]:
     """Job C: for string columns with 1 to `most` distinct values; ties by value."""
-    cells = [F.struct(F.lit(i).alias("i"), F.col(f"`{f.name}`").cast("string").alias("v")) for i, f in enumerate(df.schema) if kind(f.dataType) == "string" and 0 < (found.get(f"ndv{i}") or 0) <= most]
+    cells = [F.struct(F.lit(i).alias("i"), ref(f.name).cast("string").alias("v")) for i, f in enumerate(df.schema) if kind(f.dataType) == "string" and 0 < (found.get(f"ndv{i}") or 0) <= most]
     if not cells:
         return {}
     ranked = _counted(df, cells, "v").selectExpr("*", "row_number() over (partition by i order by n desc, v) as r").where(F.col("r") <= top)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.names import ref
 from ..functions.types import STORED, narrowest
 
 _WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -16,7 +17,7 @@ def bounds(df: DataFrame) -> dict[str, dict]:
     lengths, and whether all bytes are UTF-8."""
     asked = []
     for i, f in enumerate(df.schema):
-        c = F.col(f"`{f.name}`")
+        c = ref(f.name)
         if isinstance(f.dataType, _WHOLE):
             asked += [F.min(c).alias(f"low{i}"), F.max(c).alias(f"high{i}")]
         elif isinstance(f.dataType, T.ArrayType):
@@ -46,7 +47,7 @@ def tighten(df: DataFrame) -> DataFrame:
     """`df` under its plan; the label stands in the column's metadata, as unsigned types are stored wider."""
     todo, made = dict(plan(df)), []
     for f in df.schema:
-        c, to = F.col(f"`{f.name}`"), todo.get(f.name)
+        c, to = ref(f.name), todo.get(f.name)
         if to in STORED:
             c = c.cast(STORED[to]).alias(f.name, metadata={"label": to})
         elif to == "string":
@@ -59,6 +60,6 @@ def tighten(df: DataFrame) -> DataFrame:
 
 def text_types(df: DataFrame) -> dict[str, str]:
     """For columns of text: bigint, double or string, whichever all values can be, in one pass."""
-    asked = [F.bool_and(F.col(f"`{c}`").try_cast(t).isNotNull() | F.col(f"`{c}`").isNull()).alias(f"{t}{i}") for i, c in enumerate(df.columns) for t in ("bigint", "double")]
+    asked = [F.bool_and(ref(c).try_cast(t).isNotNull() | ref(c).isNull()).alias(f"{t}{i}") for i, c in enumerate(df.columns) for t in ("bigint", "double")]
     row = df.agg(*asked).first()
     return {c: next((t for t in ("bigint", "double") if row[f"{t}{i}"]), "string") for i, c in enumerate(df.columns)}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.names import ref
 from ..functions.types import widest
 
 
@@ -31,5 +32,5 @@ def by_name(inputs: list[DataFrame], renames: dict[str, str] | None = None, cons
                 types[f.name] = f.dataType
             elif not first_type_wins:
                 types[f.name] = widest(types[f.name], f.dataType)
-    shaped = [df.select(*[(F.col(f"`{n}`").cast(t) if n in df.columns else F.lit(None).cast(t)).alias(n) for n, t in types.items()]) for df in made]
+    shaped = [df.select(*[(ref(n).cast(t) if n in df.columns else F.lit(None).cast(t)).alias(n) for n, t in types.items()]) for df in made]
     return reduce(DataFrame.unionAll, shaped)

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.names import ref
+
 
 class UnsupportedFormat(ValueError):
     """A format for which no reader is installed."""
@@ -69,12 +71,12 @@ def csv(spark: SparkSession, paths: str | list[str], schema: T.StructType | str
     text = T.StructType([*[T.StructField(c, T.StringType()) for c in columns], T.StructField("__bad", T.StringType())])
     df = spark.read.schema(text).options(**options).csv(paths)
     checked = F.when(F.col("__bad").isNotNull(), F.raise_error(F.concat(F.lit("ragged row in "), F.input_file_name(), F.lit(": "), F.substring("__bad", 1, 200))).cast("string"))
-    first = F.coalesce(checked, F.col(f"`{columns[0]}`"))
-    df = df.select(*[(first if i == 0 else F.col(f"`{c}`")).alias(c) for i, c in enumerate(columns)])
-    blank = lambda c: F.when(~F.col(f"`{c}`").isin(*nulls), F.col(f"`{c}`")).alias(c)
+    first = F.coalesce(checked, ref(columns[0]))
+    df = df.select(*[(first if i == 0 else ref(c)).alias(c) for i, c in enumerate(columns)])
+    blank = lambda c: F.when(~ref(c).isin(*nulls), ref(c)).alias(c)
     df = df.select(*[blank(c) for c in columns])
     types = {f.name: f.dataType.simpleString() for f in wanted} if wanted is not None else text_types(df)
-    return df.select(*[F.col(f"`{c}`").cast(types[c]).alias(c) for c in columns])
+    return df.select(*[ref(c).cast(types[c]).alias(c) for c in columns])
 
 
 def jsonl(spark: SparkSession, paths: str | list[str], schema: T.StructType | str | None = None) -> DataFrame:

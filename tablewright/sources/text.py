@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.names import ref
 from .readers import BadRecord, csv, with_index
 
 
@@ -75,7 +76,7 @@ def white_space(spark: SparkSession, path: str, names: list[str] | None = None)
         raise BadRecord(f"{len(names)} names for {widths[0]} fields")
     text = rows.select(*[F.col("p")[i].alias(n) for i, n in enumerate(names)])
     types = text_types(text)
-    return text.select(*[F.col(f"`{n}`").cast(types[n]).alias(n) for n in names])
+    return text.select(*[ref(n).cast(types[n]).alias(n) for n in names])
 
 
 def after_preamble(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
