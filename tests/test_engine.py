@@ -335,3 +335,79 @@ def test_stream_equals_batch(spark, tmp_path):
     assert {tuple(r) for r in spark.table("tumbling").collect()} == want
     assert windows.sliding(batch, "ts", "1 hour", "30 minutes", []).agg(F.sum("n")).first()[0] == 120
     assert windows.sessions(batch, "ts", "5 minutes", []).count() == 60
+
+
+# --- archives, workbooks, generators --------------------------------------------------------------
+
+
+def test_archives(tmp_path):
+    import gzip
+    import tarfile
+    import zipfile
+
+    from tablewright.sources import archives
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        for n in ("x/a.csv", "x/b.csv", "x/b.txt"):
+            z.writestr(n, n)
+    got = archives.extract(str(tmp_path / "a.zip"), str(tmp_path / "o"), ["*.csv"], ["b.*"])
+    assert [g.rsplit("/", 2)[1:] for g in got] == [["x", "a.csv"]]
+    with tarfile.open(tmp_path / "a.tar.gz", "w:gz") as t:
+        t.add(got[0], "in/a.csv")
+    assert len(archives.extract(str(tmp_path / "a.tar.gz"), str(tmp_path / "p"))) == 1
+    (tmp_path / "c.csv.gz").write_bytes(gzip.compress(b"1"))
+    assert archives.extract(str(tmp_path / "c.csv.gz"), str(tmp_path / "q"))[0].endswith("c.csv")
+    with zipfile.ZipFile(tmp_path / "evil.zip", "w") as z:
+        z.writestr("../out.csv", "x")
+    with pytest.raises(readers.BadRecord, match="leaves"):
+        archives.extract(str(tmp_path / "evil.zip"), str(tmp_path / "r"))
+    with pytest.raises(readers.BadRecord, match="nothing"):
+        archives.extract(str(tmp_path / "a.zip"), str(tmp_path / "s"), ["*.json"])
+
+
+def _workbook(path, sheets):
+    """A workbook with inline strings; a date is (number, 1), styled as one."""
+    import zipfile
+
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+
+    def cell(r, c, v):
+        at = f'r="{chr(65 + c)}{r + 1}"'
+        if v is None:
+            return ""
+        if isinstance(v, bool):
+            return f'<c {at} t="b"><v>{int(v)}</v></c>'
+        if isinstance(v, tuple):
+            return f'<c {at} s="1"><v>{v[0]}</v></c>'
+        return f'<c {at} t="inlineStr"><is><t>{v}</t></is></c>' if isinstance(v, str) else f"<c {at}><v>{v}</v></c>"
+
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/styles.xml", f'<styleSheet {ns}><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>')
+        z.writestr("xl/workbook.xml", f'<workbook {ns} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets>' + "".join(f'<sheet name="{n}" sheetId="{i}" r:id="r{i}"/>' for i, n in enumerate(sheets)) + "</sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", "<Relationships>" + "".join(f'<Relationship Id="r{i}" Target="worksheets/s{i}.xml"/>' for i in range(len(sheets))) + "</Relationships>")
+        for i, rows in enumerate(sheets.values()):
+            z.writestr(f"xl/worksheets/s{i}.xml", f"<worksheet {ns}><sheetData>" + "".join("<row>" + "".join(cell(r, c, v) for c, v in enumerate(row)) + "</row>" for r, row in enumerate(rows)) + "</sheetData></worksheet>")
+
+
+def test_xlsx(spark, tmp_path):
+    from tablewright.sources.xlsx import xlsx
+
+    p = str(tmp_path / "w.xlsx")
+    head = ["n", "x", "ok", "day", "mixed", "n"]
+    _workbook(p, {"one": [["notes"], head, [1, 2, True, (44000, 1), 1, None], [None] * 6], "two": [["notes"], head, [2, 2.5, None, None, "a", 7]]})
+    got = xlsx(spark, p, skip=1)
+    assert [f.simpleString() for f in got.schema] == ["n:bigint", "x:double", "ok:boolean", "day:timestamp_ntz", "mixed:string", "n [2]:bigint", "sheet_name:string"]
+    assert [tuple(r) for r in got.orderBy("n").collect()] == [(1, 2.0, True, dt.datetime(2020, 6, 18), "1", None, "one"), (2, 2.5, None, None, "a", 7, "two")]
+    assert xlsx(spark, p, "two", 1).count() == 1
+    _workbook(p, {"one": [["a"], [1]], "two": [["b"], [1]]})
+    with pytest.raises(readers.BadRecord, match="header"):
+        xlsx(spark, p)
+
+
+def test_generator(spark):
+    from tablewright.plans.generate import tables
+
+    t = tables(spark, 0.001)
+    assert {n: df.count() for n, df in t.items()} == {"region": 5, "nation": 25, "supplier": 10, "customer": 150, "part": 200, "orders": 1500, "lineitem": 6000}
+    assert t["lineitem"].join(t["orders"], F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").isEmpty()
+    assert compare.tables_equal(t["orders"], tables(spark, 0.001)["orders"].repartition(3))
