@@ -48,3 +48,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return path
+
+
+def reachable(spark: SparkSession) -> SparkSession:
+    """Lets Python workers on this machine import the package from where it is, whatever folder the
+    application was started in. Elsewhere it has to be installed or sent along."""
+    import os
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), root) if x)
+    return spark
