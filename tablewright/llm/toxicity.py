@@ -42,6 +42,8 @@ ORDINARY_BYTES, TOXIC_BYTES, LEVEL = 32_768, 16_384, 3
 LEAST_CONTEXTS, LEAST_ERRORS, LEAST_TIMES = 4, 4.0, 8.0
 #: Window thresholds, in bytes saved, of which calibration takes one.
 THRESHOLDS = tuple(range(2, 18))
+#: Further ones at which windows are counted for the logistic model, whatever the calibrated one is.
+STEPS = (2, 3, 4, 6, 8)
 
 
 def windows(text: str | None) -> list[bytes]:
@@ -108,8 +110,9 @@ class Model:
 
     def inputs(self, stats: np.ndarray) -> np.ndarray:
         """Of rows as saved() gives them."""
-        over = stats[:, 4 + THRESHOLDS.index(self.threshold)]
-        return np.stack([stats[:, 0] / 4, stats[:, 1] / 4, stats[:, 2], np.log1p(over), over / np.maximum(stats[:, 3], 1), np.log1p(stats[:, 3])], axis=1)
+        n = np.maximum(stats[:, 3], 1)
+        over = stats[:, 4:][:, [THRESHOLDS.index(t) for t in (self.threshold, *STEPS)]]
+        return np.column_stack([stats[:, 0] / 4, stats[:, 1] / 4, stats[:, 2], np.log1p(stats[:, 3]), np.log1p(over), 10 * over / n[:, None]])
 
     def scores(self, stats: np.ndarray) -> np.ndarray:
         if self.constant is not None:
