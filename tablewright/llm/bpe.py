@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed
+from .common import bucketed, text_batches
 
 #: Text of a chunk, and distinct words whose ids a bucket's task keeps; beyond it, it starts anew and
 #: may encode a word again. Buckets follow spark.sql.shuffle.partitions, which is sized to the data.
@@ -283,6 +283,7 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     """doc_id, ids. `path` is the tokenizer's file, on every executor. `then` are further functions
     over batches of (doc_id, ids), run in the same worker, and `gives` what comes of them."""
     spark = docs.sparkSession
+    text_batches(spark)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     buckets = max(LEAST_BUCKETS, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch
+from ..session import reachable, scratch
 
 #: A word is a run of anything but the six ASCII white-space characters. In Python, bytes.split()
 #: splits UTF-8 text at exactly these characters.
@@ -24,6 +24,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Most rows of a batch that goes to Python: texts can be long, and a worker holds a batch several times.
+TEXT_ROWS = 2500
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Holds the session's Arrow batches to TEXT_ROWS rows, unless it has them smaller already, and
+    lets workers import this package."""
+    reachable(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= TEXT_ROWS:
+        spark.conf.set(key, str(TEXT_ROWS))
+
+
 def bucketed(df: DataFrame, key: str) -> DataFrame:
     """As cut(), in buckets of `key`, so that what groups or joins by it needs no exchange of these rows."""
     spark, name = df.sparkSession, f"cut_{uuid.uuid4().hex}"

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, n_words, row_key
+from .common import cut, n_words, row_key, text_batches
 
 #: Sites on which a line counts as boilerplate, and the fewest words of a line that can.
 SITES, MIN_WORDS = 10, 4
@@ -65,6 +65,7 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str = "source", sites: int = SITES) -> DataFrame:
     """`docs` with boilerplate lines removed from `text`, and line_count and removed_lines behind its
     columns."""
+    text_batches(docs.sparkSession)
     lines = cut(line_rows(docs, doc_id, text, site))
     marked = cut(boilerplate(lines, sites))
     gone = lines.join(marked, "line").where(~F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("key").agg(F.collect_set("pos").alias("__gone"))

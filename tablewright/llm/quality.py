@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, row_key
+from .common import cut, row_key, text_batches
 from .linear import fit_sparse
 from .rules import repeat_words
 
@@ -105,6 +105,7 @@ def _observed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def observe(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, key, votes, n_words, at, value): each document's votes and hashed features; key tells
     rows apart by id and text."""
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), row_key(F.col(doc_id), F.col(text)).alias("key"), F.col(text).alias("text"))
     return rows.mapInArrow(_observed, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, key binary, votes string, n_words long, at array<int>, value array<float>")
 

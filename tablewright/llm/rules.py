@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, text_batches
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -96,6 +96,7 @@ def frequent_lines(lines: DataFrame, hosts: DataFrame, min_docs: int = MIN_DOCS,
 
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, max_share: int = MAX_SHARE, least_left: int = LEAST_LEFT) -> DataFrame:
     """doc_id, the base statistics, removed_words (in frequent lines), base_failed, kept."""
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(host).cast("string").alias("host"), F.col(text).alias("text"))
     light = rows.mapInArrow(_base_batches, _BASE.format(id=rows.schema["doc_id"].dataType.simpleString()))
     light = cut(light.withColumn("row", F.monotonically_increasing_id()))  # written once, so the ids stay

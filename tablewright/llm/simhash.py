@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, text_batches
 from .components import components
 
 SHINGLE, SEED, MOST_BITS = 3, 42, 3
@@ -64,6 +64,7 @@ def _fingerprints(width: int):
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint as a signed long."""
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(_fingerprints(width), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
 
@@ -289,6 +290,7 @@ def _alike(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def alike(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
     """doc_id, component_id (smallest doc_id of the component): components of documents whose
     `width`-word shingles are the same to four fifths or more, as the wide fingerprint estimates it."""
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     parts = [f"p{i}" for i in range(PARTS)]
     kind = rows.schema["doc_id"].dataType.simpleString()

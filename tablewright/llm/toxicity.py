@@ -31,6 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches
 from .linear import fit_dense
 
 #: Bounds of the sample, by label.
@@ -138,6 +139,7 @@ def _stats(batch_texts, model: Model) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """labels: (doc_id, label 0/1), training rows only. What comes to the driver is bounded by
     TRAIN_DOCS and TRAIN_WINDOWS."""
+    text_batches(docs.sparkSession)
     known = labels.groupBy(F.col(doc_id).alias("id")).agg(F.max(F.col(label).cast("int")).alias("label")).where("label is not null and id is not null")
     known = known.withColumn("h", F.xxhash64("id"))
     counts = dict(known.groupBy("label").count().where("label in (0, 1)").collect())
@@ -179,6 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, score (0 to 1), predicted (1 from 0.5 on)."""
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
