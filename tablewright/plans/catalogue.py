@@ -170,7 +170,7 @@ def sparkline_counts(spark, t):
 # --- filters and aggregations ---------------------------------------------------------------------
 
 both("filtered_count_by_flag", "select l_returnflag, count(*) as trips, count(*) filter (where l_discount <= 0) as no_discount from {lineitem} where l_extendedprice > 20000 group by l_returnflag")
-both("ratio_of_totals", "select sum(case when l_discount = 0 then 1 else 0 end) as without_discount, count(*) as n, round(100.0 * sum(case when l_discount = 0 then 1 else 0 end) / count(*), 4) as percent from {lineitem}", "select cast(sum(case when l_discount = 0 then 1 else 0 end) as decimal(38,0)) as without_discount, count(*) as n, round(100.0D * sum(case when l_discount = 0 then 1 else 0 end) / count(*), 4) as percent from {lineitem}")
+both("ratio_of_totals", "select count(*) filter (where l_discount = 0) as without_discount, count(*) as n, round(100.0 * count(*) filter (where l_discount = 0) / count(*), 4) as percent from {lineitem}", "select count(*) filter (where l_discount = 0) as without_discount, count(*) as n, round(100.0D * count(*) filter (where l_discount = 0) / count(*), 4) as percent from {lineitem}")
 both("group_by_decade", "select cast(year(o_orderdate) // 10 as bigint) * 10 as decade, count(*) as n from {orders} group by 1 order by 1", "select cast(year(o_orderdate) div 10 as bigint) * 10 as decade, count(*) as n from {orders} group by 1 order by 1")
 both("share_of_total", "select o_orderstatus, count(*) as n, round(100.0 * count(*) / (select count(*) from {orders}), 4) as percent from {orders} group by o_orderstatus", "select o_orderstatus, count(*) as n, round(100.0D * count(*) / (select count(*) from {orders}), 4) as percent from {orders} group by o_orderstatus")
 both("min_by_price", "select p_partkey, coalesce(p_name, 'part ' || p_partkey) as name, p_retailprice from {part} where p_retailprice is not null order by p_retailprice, p_partkey limit 1")
