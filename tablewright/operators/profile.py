@@ -44,8 +44,9 @@ def _finite(c: Column, t: T.DataType) -> Column:
     return F.when(~F.isnan(d) & (F.abs(d) != float("inf")), d)
 
 
-def summary(df: DataFrame, rsd: float = 0.02) -> dict:
-    """Job A: {"rows": n, (place of column, what): value}."""
+def summary(df: DataFrame, rsd: float = 0.05) -> dict:
+    """Job A: {"rows": n, what and place of column: value}. The sketches of distinct counts are fields of
+    the aggregation's row, so a smaller `rsd` makes it wider, and slower for tables of many columns."""
     asked = [F.count("*").alias("rows")]
     for i, f in enumerate(df.schema):
         c, k = ref(f.name), kind(f.dataType)
