@@ -119,6 +119,15 @@ def test_urls(spark):
     assert urls.judge(df.where("false")).count() == 0
 
 
+def test_planted_host(spark):
+    """A host whose pages with a rule are all bad loses the page without one; its neighbours keep theirs."""
+    rows = [(100 * h + i, f"http://h{h}.example.com/{'de' if i % 4 == 0 else 'fr'}/{i}") for h in range(12) for i in range(16)]
+    rows += [(5000 + i, f"http://planted.example.com/de/{i}") for i in range(40)]
+    rows += [(9000 + h, f"http://h{h}.example.com/xx") for h in range(12)] + [(9999, "http://planted.example.com/xx")]
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string")).where("rule is null and verdict = 'block'").collect()
+    assert [r.page_id for r in got] == [9999]
+
+
 def test_toxicity(docs, none, spark):
     labels = spark.createDataFrame([(1, 1), (5, 0), (2, None), (99, 1), (1, 1)], "doc_id long, toxic int")
     for known in (labels, labels.where("toxic = 1"), labels.where("false")):
