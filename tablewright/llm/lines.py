@@ -5,8 +5,14 @@ partial aggregation and merged in the shuffle. Lines whose estimate is near the
 distinct count. A line on SITES sites or more is boilerplate: it stays in the first document that has
 it (smallest doc_id) and is removed everywhere else, so no content leaves the corpus.
 
-Defined results: a null text stays null with no lines; a null site is a site of its own; lines with
-fewer than MIN_WORDS words, empty ones included, are never removed; a document with a null doc_id is
+`dedup` has one threshold, and lines with fewer than MIN_WORDS words are never removed. `kept`, for the
+pipeline, asks fewer sites of longer lines (SPREAD), and counts
+documents rather than sites for lines of LONG words or more, as such passages may be repeated within
+one site. Of exact copies of a text it keeps the first, as all lines of the others stand there; they
+would be left as fragments of their shorter lines otherwise.
+
+Defined results: a null text stays null with no lines; a null site is a site of its own; empty lines
+are never removed; a document with a null doc_id is
 never the first; repeated rows are treated alike; an empty table gives an empty result. Further
 columns pass through `dedup` under their own names, whatever these are.
 """
@@ -23,6 +29,8 @@ from .common import cut, n_words, row_key, text_batches
 
 #: Sites on which a line counts as boilerplate, and the fewest words of a line that can.
 SITES, MIN_WORDS = 10, 4
+#: For `kept`: (fewest words of a line, sites that it needs), and from how many words on documents count.
+SPREAD, LONG = ((4, 5), (20, 3), (50, 2)), 20
 #: Size of a sketch (2^LG_K slots), and the relative error beyond which its estimate is trusted: three
 #: standard errors of 1.04 / 2^(LG_K / 2), and one site at least.
 LG_K, BAND = 12, 0.05
@@ -32,22 +40,40 @@ def normalised(line: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")))
 
 
-def line_rows(docs: DataFrame, doc_id: str, text: str, site: str, min_words: int = MIN_WORDS) -> DataFrame:
-    """(key, doc_id, site, pos, line): a row for each line that can be boilerplate."""
-    rows = docs.select(row_key(F.col(doc_id), F.col(site), F.col(text)).alias("key"), F.col(doc_id).alias("doc_id"), F.coalesce(F.concat(F.lit("s"), F.col(site).cast("string")), F.lit("")).alias("site"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("pos", "raw"))
-    rows = rows.withColumn("norm", normalised(F.col("raw"))).where(F.size(F.split("norm", " ", min_words)) >= min_words)
-    return rows.select("key", "doc_id", "site", "pos", F.unhex(F.md5("norm")).alias("line"))
-
-
-def boilerplate(lines: DataFrame, sites: int = SITES, lg_k: int = LG_K, band: float = BAND) -> DataFrame:
+def line_rows(docs: DataFrame, doc_id: str, text: str, site: str, spread: tuple[tuple[int, int], ...] = ((MIN_WORDS, SITES),), long: int | None = None) -> DataFrame:
+    """(key, doc_id, site, pos, line, need): a row for each line that can be boilerplate, and the sites
+    it needs. Lines of `long` words or more have their document for site."""
+    own = F.coalesce(F.concat(F.lit("s"), F.col(site).cast("string")), F.lit(""))
+    unit = F.concat(F.lit("d"), F.coalesce(F.col(doc_id).cast("string"), F.md5(text)))
+    rows = docs.select(row_key(F.col(doc_id), F.col(site), F.col(text)).alias("key"), F.col(doc_id).alias("doc_id"), own.alias("site"), unit.alias("unit"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("pos", "raw"))
+    rows = rows.withColumn("norm", normalised(F.col("raw"))).where("norm != ''")
+    words = F.size(F.split("norm", " ", max(long or 0, *[n for n, _ in spread])))
+    rows = rows.withColumn("words", words).where(F.col("words") >= min(n for n, _ in spread))
+    need = F.lit(None).cast("int")
+    for n, sites in sorted(spread):
+        need = F.when(F.col("words") >= n, sites).otherwise(need)
+    if long is not None:
+        rows = rows.withColumn("site", F.when(F.col("words") >= long, F.col("unit")).otherwise(F.col("site")))
+    return rows.select("key", "doc_id", "site", "pos", F.unhex(F.md5("norm")).alias("line"), need.alias("need"))
+
+
+def boilerplate(lines: DataFrame, lg_k: int = LG_K, band: float = BAND) -> DataFrame:
     """(line, first): the boilerplate lines and the smallest doc_id that has each."""
-    est = lines.groupBy("line").agg(F.hll_sketch_agg("site", lg_k).alias("sketch"), F.min("doc_id").alias("first"))
-    est = est.select("line", "first", F.hll_sketch_estimate("sketch").alias("estimate"))
-    width = max(1.0, band * sites)
-    est = cut(est.where(F.col("estimate") >= sites - width))
-    near = est.where(F.col("estimate") <= sites + width)
+    est = lines.groupBy("line").agg(F.hll_sketch_agg("site", lg_k).alias("sketch"), F.min("doc_id").alias("first"), F.min("need").alias("need"), (F.min("site") != F.max("site")).alias("several"))
+    est = est.where("several or need < 2").select("line", "first", "need", F.hll_sketch_estimate("sketch").alias("estimate"))
+    width = F.greatest(F.lit(1.0), F.col("need") * band)
+    est = cut(est.where(F.col("estimate") >= F.col("need") - width))
+    near = est.where(F.col("estimate") <= F.col("need") + width)
     exact = lines.join(near.select("line"), "line", "left_semi").groupBy("line").agg(F.count_distinct("site").alias("exact"))
-    return est.join(exact, "line", "left").where(F.coalesce("exact", "estimate") >= sites).select("line", "first")
+    return est.join(exact, "line", "left").where(F.coalesce("exact", "estimate") >= F.col("need")).select("line", "first")
+
+
+def owned(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """`docs` with __owner, the smallest doc_id of the rows with the same text. The join has plain
+    exchanges on both sides, so that a text with a large share of all rows is split."""
+    coded = docs.withColumn("__text_key", F.unhex(F.md5(F.col(text))))
+    copies = cut(coded.groupBy("__text_key").agg(F.min(doc_id).alias("__owner"), F.count("*").alias("n")).where("n > 1 and __text_key is not null").select(F.col("__text_key").alias("__same"), "__owner"))
+    return coded.join(copies, F.col("__text_key") == F.col("__same"), "left").withColumn("__owner", F.coalesce("__owner", F.col(doc_id))).drop("__text_key", "__same")
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,9 +91,14 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str = "source", sites: int = SITES) -> DataFrame:
     """`docs` with boilerplate lines removed from `text`, and line_count and removed_lines behind its
     columns."""
+    return _removed(docs, doc_id, text, site, line_rows(docs, doc_id, text, site, ((MIN_WORDS, sites),)))
+
+
+def _removed(docs: DataFrame, doc_id: str, text: str, site: str, rows: DataFrame) -> DataFrame:
+    """As dedup(), by the rows of line_rows()."""
     text_batches(docs.sparkSession)
-    lines = cut(line_rows(docs, doc_id, text, site))
-    marked = cut(boilerplate(lines, sites))
+    lines = cut(rows)
+    marked = cut(boilerplate(lines))
     gone = lines.join(marked, "line").where(~F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("key").agg(F.collect_set("pos").alias("__gone"))
     names = docs.columns
     inner = docs.toDF(*[f"c{i}" for i in range(len(names))])
@@ -82,11 +113,12 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str
     return out.select(*[F.col(f"c{i}") for i in range(len(names))], "__lines", "__removed").toDF(*names, "line_count", "removed_lines")
 
 
-def kept(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str = "source", sites: int = SITES) -> DataFrame:
-    """The columns of `docs`; a document goes if removal left none of its words, as all of them stand
-    in other documents. One that had no words before stays."""
-    out = dedup(docs, doc_id, text, site, sites)
-    return out.where((F.col("removed_lines") == 0) | (n_words(F.col(text)) > 0)).select(*docs.columns)
+def kept(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str = "source", spread: tuple[tuple[int, int], ...] = SPREAD, long: int | None = LONG) -> DataFrame:
+    """The columns of `docs`; a document goes if removal left none of its words, or if a smaller doc_id
+    has the same text, as all its lines stand in other documents. One that had no words before stays."""
+    out = _removed(owned(docs, doc_id, text), doc_id, text, site, line_rows(docs, doc_id, text, site, spread, long))
+    empty = n_words(F.col(text)) == 0
+    return out.where(F.when(F.col("removed_lines") == 0, empty).otherwise(False) | ~empty & F.col("__owner").eqNullSafe(F.col(doc_id))).select(*docs.columns)
 
 
 ORACLE_SQL = r"""

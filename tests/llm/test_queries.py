@@ -112,6 +112,18 @@ def test_lines_exact_near_threshold(spark):
     assert gone == {100 * k + s for k in (10, 11) for s in range(1, k)}
 
 
+def test_lines_of_the_pipeline(spark):
+    """Passages in two documents, of one site too, stay in the first; so do lines of 20 words on three
+    sites; exact copies go whole."""
+    passage = lambda k, n=55: " ".join(f"p{k}x{i}" for i in range(n))
+    rows = [(s, f"{passage('sites')}\nown line {s}", f"s{s}") for s in range(2)] + [(10 + s, f"{passage('hot')}\nown line 1{s}", "s1") for s in range(2)]
+    rows += [(20 + s, f"{passage('mid', 20)}\nown line 2{s}", f"s{s}") for s in range(3)] + [(30 + s, f"{passage('few', 20)}\nown line 3{s}", f"s{s}") for s in range(2)]
+    rows += [(70 + s, f"{passage('copy')}\nsmall own line", f"s{s}") for s in range(3)]
+    got = {r.doc_id: r.text for r in lines.kept(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert set(got) == {d for d, _, _ in rows} - {71, 72}
+    assert {d for d, t, _ in rows if d in got and got[d] != t} == {1, 11, 21, 22}
+
+
 def test_frequent_lines_deplete(spark):
     body = " ".join(f"word{i}" for i in range(30))
     own = lambda i: " ".join(f"own{i}x{j}" for j in range(40))
