@@ -6,7 +6,7 @@ distinct count. A line on SITES sites or more is boilerplate: it stays in the fi
 it (smallest doc_id) and is removed everywhere else, so no content leaves the corpus.
 
 `dedup` has one threshold, and lines with fewer than MIN_WORDS words are never removed. `kept`, for the
-pipeline, asks fewer sites of longer lines (SPREAD), and counts
+pipeline, counts every line that has a word, asks fewer sites of longer lines (SPREAD), and counts
 documents rather than sites for lines of LONG words or more, as such passages may be repeated within
 one site. Of exact copies of a text it keeps the first, as all lines of the others stand there; they
 would be left as fragments of their shorter lines otherwise.
@@ -30,7 +30,7 @@ from .common import cut, n_words, row_key, text_batches
 #: Sites on which a line counts as boilerplate, and the fewest words of a line that can.
 SITES, MIN_WORDS = 10, 4
 #: For `kept`: (fewest words of a line, sites that it needs), and from how many words on documents count.
-SPREAD, LONG = ((4, 5), (20, 3), (50, 2)), 20
+SPREAD, LONG = ((1, 15), (2, 10), (4, 5), (20, 3), (50, 2)), 20
 #: Size of a sketch (2^LG_K slots), and the relative error beyond which its estimate is trusted: three
 #: standard errors of 1.04 / 2^(LG_K / 2), and one site at least.
 LG_K, BAND = 12, 0.05

@@ -124,6 +124,12 @@ def test_lines_of_the_pipeline(spark):
     assert {d for d, t, _ in rows if d in got and got[d] != t} == {1, 11, 21, 22}
 
 
+def test_short_lines_of_the_pipeline(spark):
+    rows = [(s, f"All rights reserved.\nown line {s}", f"s{s}") for s in range(10)] + [(20 + s, f"Next\nown line 2{s}", f"s{s}") for s in range(10)] + [(40 + s, f"Home\nown line 4{s}", f"s{s}") for s in range(16)]
+    got = {r.doc_id: r.text for r in lines.kept(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert {d for d, t, _ in rows if got[d] != t} == {*range(1, 10), *range(41, 56)}
+
+
 def test_frequent_lines_deplete(spark):
     body = " ".join(f"word{i}" for i in range(30))
     own = lambda i: " ".join(f"own{i}x{j}" for j in range(40))
