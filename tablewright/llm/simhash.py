@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_batches
+from .common import cut, row_key, text_batches
 from .components import components
 
 SHINGLE, SEED, MOST_BITS = 3, 42, 3
@@ -192,118 +192,139 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 # --- documents alike in most of their shingles ------------------------------------------------------
 #
 # Three differing bits of 64 are next to nothing: of texts that share four fifths of their five-word
-# shingles, one in seven bits differs. For such documents the same index is built over a wider
-# fingerprint, of PARTS times 64 bits in three segments each. Copies meet under a key if any of the
-# segments differs in at most one bit, which nearly all do, and are verified on the whole fingerprint.
+# shingles, one in seven bits differs. Such documents meet by the smallest values of their shingles
+# under BANDS * ROWS hash functions: two of similarity s share a band's key with probability s^ROWS, so
+# of pairs at four fifths (1 - 0.8^ROWS)^BANDS = 2 in a million share none. Those that meet are verified
+# on their sets of hashed shingles. Equal sets are one node throughout.
 
-PARTS, SEGMENT = 3, 21
-#: Differing bits of 64 * PARTS at which texts share four fifths of their shingles.
-ALIKE_BITS = 32
+BANDS, ROWS = 25, 4
+#: Least similarity (size of the intersection by size of the union) of a link, as a fraction.
+ALIKE = (4, 5)
+#: Odd factors of the hash functions, and of the values in a key.
+_FACTORS = np.random.default_rng(SEED).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = np.random.default_rng(SEED + 1).integers(0, 2**63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def signature(text: str | None, width: int = 5) -> np.ndarray:
-    """PARTS unsigned numbers; the first is the fingerprint. Further parts take each shingle's hash
-    through a mixing of its own."""
+def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
+    """The distinct hashes of the text's shingles, ascending; none for a text without words."""
     words = (text or "").encode().lower().split()
     if not words:
-        return np.zeros(PARTS, np.uint64)
-    n = max(1, len(words) - width + 1)
+        return np.zeros(0, np.uint64)
     shingles = map(b" ".join, zip(*[words[i:] for i in range(width)], strict=False)) if len(words) > width else [b" ".join(words)]
-    h = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64, n)
-    out = np.zeros(PARTS, np.uint64)
-    for part in range(PARTS):
-        if part:
-            h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        ones = np.zeros(64, np.int64)
-        for at in range(0, n, 65_536):
-            ones += np.unpackbits(h[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out[part] = np.packbits(2 * ones > n, bitorder="little").view("<u8")[0]
-    return out
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64))
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """BANDS unsigned keys of a set that is not empty."""
+    least = np.full(BANDS * ROWS, np.uint64(2**64 - 1))
+    for at in range(0, len(shingles), 512):
+        x = _FACTORS[:, None] * shingles[None, at : at + 512]
+        least = np.minimum(least, x.min(axis=1))
+    keys = ((least ^ (least >> np.uint64(29))).reshape(BANDS, ROWS) * _MIX).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)
+    return (keys ^ (keys >> np.uint64(32))) * _FACTORS[:BANDS]
+
+
+def _node(shingles: np.ndarray) -> int:
+    """A set's name as a signed long."""
+    return xxhash.xxh64_intdigest(shingles.tobytes()) - (1 << 63)
+
 
+def _met(width: int):
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            sets = [shingle_set(t.as_py(), width) for t in b.column(2)]
+            keys = [band_keys(x).view(np.int64) if len(x) else np.zeros(0, np.int64) for x in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_node(x) for x in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "key", "node", "bands"])
 
-def _node(parts: np.ndarray) -> int:
-    """A signature's name as a signed long."""
-    return xxhash.xxh64_intdigest(parts.tobytes()) - (1 << 63)
+    return batches
 
 
-def _signatures(width: int):
+def _sets(width: int):
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            sig = np.array([signature(t.as_py(), width) for t in b.column(1)], np.uint64).reshape(-1, PARTS)
-            parts = [pa.array(np.ascontiguousarray(sig[:, i]).view(np.int64)) for i in range(PARTS)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_node(x) for x in sig], pa.int64()), *parts], names=["doc_id", "node", *(f"p{i}" for i in range(PARTS))])
+            sets = [shingle_set(t.as_py(), width) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in sets], pa.binary())], names=["n", "shingles"])
 
     return batches
 
 
-def near_wide(values: np.ndarray, most: int = ALIKE_BITS) -> list[tuple[int, int]]:
-    """As near(), over rows of PARTS numbers; places, not values."""
-    rest, out = np.arange(len(values)), []
+def near_sets(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """A spanning forest of the links among sets of hashes, as near(); places, not values. Breadth
+    first; each member is compared once with those not reached yet."""
+    num, den = ALIKE
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    size = np.array([len(x) for x in sets])
+    start = np.cumsum(size) - size
+    flag = np.zeros(len(ids) and int(ids.max()) + 1, np.int64)
+    # `flat` has the members of `rest` one after the other; it is packed anew whenever some are reached
+    rest, flat, out = np.arange(len(sets)), ids, []
     while len(rest) > 1:
-        root, front, rest = rest[0], rest[:1], rest[1:]
-        while len(front) and len(rest):
-            hit = np.zeros(len(rest), bool)
-            for f in range(0, len(front), 64):
-                todo = np.nonzero(~hit)[0]
-                d = np.bitwise_count(values[front[f : f + 64], None, :] ^ values[rest[todo]][None, :, :]).sum(axis=2, dtype=np.int64)
-                hit[todo[(d <= most).any(axis=0)]] = True
-            front, rest = rest[hit], rest[~hit]
-            out += [(int(x), int(root)) for x in front]
+        root, front = rest[0], [rest[0]]
+        flat, rest = flat[size[root] :], rest[1:]
+        while front and len(rest):
+            x = front.pop()
+            mine = ids[start[x] : start[x] + size[x]]
+            flag[mine] = 1
+            same = np.add.reduceat(flag[flat], np.cumsum(size[rest]) - size[rest])
+            flag[mine] = 0
+            hit = same * den >= (size[rest] + size[x] - same) * num
+            if hit.any():
+                front += rest[hit].tolist()
+                out += [(int(y), int(root)) for y in rest[hit]]
+                flat, rest = flat[np.repeat(~hit, size[rest])], rest[~hit]
     return out
 
 
 def _alike(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (parts, key) sorted by key, as for _forests."""
-    last, kept = None, []
+    """Rows (key, node, shingles) sorted by key; a group is linked when the next key begins."""
 
-    def batch(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([_node(p[i]) for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
+    def forest(group: dict[int, bytes]) -> list[tuple[int, int]]:
+        nodes = list(group)
+        return [(nodes[x], nodes[y]) for x, y in near_sets([np.frombuffer(v, np.uint64) for v in group.values()])]
 
-    def forest(parts: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-        values = np.unique(np.concatenate(parts), axis=0)
-        return [(values[x], values[y]) for x, y in near_wide(values)]
+    def batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
+    last, group = None, {}
     for b in it:
-        if not b.num_rows:
-            continue
-        columns = [np.ascontiguousarray(c.to_numpy(zero_copy_only=False)) for c in b.columns]
-        sig = np.stack([c.view(np.uint64) for c in columns[:PARTS]], axis=1)
-        keys = columns[PARTS]
-        starts = np.concatenate([[0], np.nonzero(keys[1:] != keys[:-1])[0] + 1])
-        ends = np.concatenate([starts[1:], [b.num_rows]])
-        inner, size = np.arange(1, len(starts) - 1), ends - starts
-        two = starts[inner[size[inner] == 2]]
-        d = np.bitwise_count(sig[two] ^ sig[two + 1]).sum(axis=1, dtype=np.int64)
-        pairs = [(sig[i], sig[i + 1]) for i in two[(d <= ALIKE_BITS) & (d > 0)]]
-        for g in [0, *inner[size[inner] > 2], *([len(starts) - 1] if len(starts) > 1 else [])]:
-            if (key := keys[starts[g]]) != last:
-                if kept:
-                    pairs += forest(kept)
-                last, kept = key, []
-            kept.append(sig[starts[g] : ends[g]])
+        pairs = []
+        for key, node, shingles in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if key != last:
+                if len(group) > 1:
+                    pairs += forest(group)
+                last, group = key, {}
+            group[node] = shingles
         yield batch(pairs)
-    if kept:
-        yield batch(forest(kept))
+    if len(group) > 1:
+        yield batch(forest(group))
 
 
-def alike(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
-    """doc_id, component_id (smallest doc_id of the component): components of documents whose
-    `width`-word shingles are the same to four fifths or more, as the wide fingerprint estimates it."""
+def _labelled(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
+    """(doc_id, key, root): key tells rows apart by id and text, root names the component. Groups with
+    the same members are verified once."""
     text_batches(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    parts = [f"p{i}" for i in range(PARTS)]
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    docs_sig = cut(rows.mapInArrow(_signatures(width), f"doc_id {kind}, node long, " + ", ".join(f"{p} long" for p in parts)))
-    classes = cut(docs_sig.groupBy("node", *parts).agg(F.min("doc_id").alias("first")))
-    variants = [f"transform({_variants(p, SEGMENT, s)}, x -> cast(x.wild + {10_000 * i + 1} as long) * {1 << SEGMENT}L + x.part)" for i, p in enumerate(parts) for s in range(0, 63, SEGMENT)]
-    keys = classes.selectExpr(*parts, f"explode(concat({', '.join(variants)})) as key")
-    links = keys.repartition("key").sortWithinPartitions("key").mapInArrow(_alike, "a long, b long")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), row_key(F.col(doc_id), F.col(text)).alias("key"), F.col(text).alias("text"))
+    seen = cut(rows.mapInArrow(_met(width), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, key binary, node long, bands array<long>"))
+    classes = cut(seen.groupBy("node").agg(F.min(F.struct("key", "bands")).alias("c")).select("node", "c.key", "c.bands"))
+    keys = classes.select("node", F.explode("bands").alias("band"))
+    groups = keys.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("n > 1")
+    groups = cut(groups.groupBy("n", "x", "lo", "hi").agg(F.min("band").alias("b")).select("b"))
+    members = cut(keys.join(groups, F.col("band") == F.col("b")).select("band", "node"))
+    wanted = classes.join(members.select("node").distinct(), "node").select(F.col("node").alias("n"), F.col("key").alias("k"))
+    texts = rows.join(wanted, F.col("key") == F.col("k")).select("n", "text")
+    sets = cut(texts.mapInArrow(_sets(width), "n long, shingles binary").dropDuplicates(["n"]))
+    met = members.join(sets, F.col("node") == F.col("n")).select("band", "node", "shingles")
+    links = met.repartition("band").sortWithinPartitions("band").mapInArrow(_alike, "a long, b long")
     roots = cut(components(links)).withColumnsRenamed({"node": "n", "root": "r"})
-    rooted = classes.join(roots, F.col("node") == F.col("n"), "left").select("node", "first", F.coalesce("r", "node").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = cut(rooted.join(least, "root").select(F.col("node").alias("n"), "component_id"))
-    return docs_sig.join(labels, F.col("node") == F.col("n")).select("doc_id", "component_id")
+    return seen.select("doc_id", "key", "node").join(roots, F.col("node") == F.col("n"), "left").select("doc_id", "key", F.coalesce("r", "node").alias("root"))
+
+
+def alike(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
+    """doc_id, component_id (smallest doc_id of the component): components of documents whose sets of
+    `width`-word shingles are the same to four fifths or more."""
+    rows = cut(_labelled(docs, doc_id, text, width))
+    least = cut(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("root", "r"))
+    return rows.join(least, F.col("root") == F.col("r")).select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:

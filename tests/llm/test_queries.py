@@ -90,6 +90,30 @@ def test_alike(spark):
     assert got == {5: 3, 3: 3, 9: 3, 4: 4, 8: 8}
 
 
+def test_alike_brute(spark):
+    """Pairs planted at similarities from 0.5 to 1, and a crowd about one text, against all pairs."""
+    rng = np.random.default_rng(11)
+    texts = []
+    for k in range(120):
+        words = [f"w{k}x{i}" for i in range(204)]
+        other = list(words)
+        for i in rng.choice(40, k % 14, replace=False):  # each word is in up to five shingles
+            other[5 * i] = f"new{i}"
+        texts += [" ".join(words), " ".join(other)]
+    base = [f"crowd{i}" for i in range(204)]
+    texts += [" ".join(w if i not in at else f"c{k}x{i}" for i, w in enumerate(base)) for k in range(60) for at in [set(rng.choice(204, 3, replace=False).tolist())]]
+    sets = [simhash.shingle_set(t) for t in texts]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            same = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            if same * 5 >= (len(sets[a]) + len(sets[b]) - same) * 4 and root[a] != root[b]:
+                lo, hi = sorted((root[a], root[b]))
+                root = [lo if r == hi else r for r in root]
+    got = {r.doc_id: r.component_id for r in simhash.alike(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(root))
+
+
 def test_schedule(spark, sf_dir):
     """A prefix of the slots is near the weights, slots of a source take its blocks in turn."""
     per = spark.createDataFrame([("a", 60_000), ("b", 90_000), ("c", 30_000)], "source string, source_size long")
