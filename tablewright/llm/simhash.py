@@ -328,7 +328,12 @@ def alike(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: in
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
-    """The rows of `docs` with the smallest doc_id of their component; of repeated rows with that
-    doc_id, all stay. A null doc_id stays."""
-    lost = alike(docs, doc_id, text, width).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__lost")).distinct()
-    return docs.join(lost, F.col(doc_id) == F.col("__lost"), "left_anti")
+    """The rows of `docs` with the smallest doc_id of their component, and of several texts with that
+    doc_id, one; of repeated rows of it, all stay. A null doc_id is the largest; of rows without any
+    other, one stays."""
+    rows = cut(_labelled(docs, doc_id, text, width))
+    best = cut(rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("b")).select(F.col("root").alias("r"), F.col("b.key").alias("best")))
+    lost = rows.join(best, F.col("root") == F.col("r")).where("key != best").select(F.col("key").alias("__lost")).distinct()
+    keyed = docs.withColumn("__row_key", row_key(F.col(doc_id), F.col(text)))
+    keyed = keyed.where(F.col(doc_id).isNotNull()).unionByName(keyed.where(F.col(doc_id).isNull()).dropDuplicates(["__row_key"]))
+    return keyed.join(lost, F.col("__row_key") == F.col("__lost"), "left_anti").drop("__row_key")

@@ -70,6 +70,13 @@ def test_simhash(docs, none):
     assert simhash.one_of_each(none).count() == 0
 
 
+def test_one_of_each_by_row(spark):
+    """An id with two texts loses only the copy; of copies without an id one stays."""
+    rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (2, "a text of its own"), (None, "no id but the same words"), (None, "no id but the same words"), (None, "No id but the same words"), (None, "a b c d e f g")]
+    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text.lower()) for r in got) == [(0, "no id but the same words"), (1, "a b c d e f g"), (2, "a text of its own")]
+
+
 def test_topk(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [None, 1.0]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, []), (8, [0.5]), (50, [0.5]), (50, [0.5]), (9, [-1.0, 3e38])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit("own")).withColumn("score", F.lit("own"))
