@@ -94,9 +94,10 @@ def schedule(quota: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken: how many of a document's words the mix takes,
-    repeats counted. No document is taken more than twice, as no target is over twice its source."""
+def _joined(docs: DataFrame, doc_id: str, text: str, source: str, block_words: int) -> DataFrame:
+    """The slots joined to the documents of their blocks: the columns of a document (start is its place
+    in the source's stream), block, slot, first (word of the document) and words. A piece of a document
+    that no slot takes, and a document without words, have null slots."""
     rows = cut(shuffled(docs, doc_id, text, source).withColumn("bucket", F.substring("h", 1, BUCKET_DIGITS)))
     by_bucket = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     quota = cut(quotas(targets(by_bucket.groupBy("source").agg(F.sum("bucket_size").alias("source_size"))), block_words))
@@ -105,33 +106,45 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     placed = (
         rows.selectExpr("doc_id", "source", "size", "bucket", "sum(size) over (partition by source, bucket order by h, doc_id, size rows unbounded preceding) - size as within")
         .join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-        .selectExpr("doc_id", "source", "pos", "size", "source_size", "target", "bucket_start + within as start")
-    )
-    used = schedule(quota, block_words).groupBy("pos", "block").agg(
-        F.count(F.when(F.col("words") == F.col("block_size"), 1)).alias("whole"),
-        F.coalesce(F.max(F.when(F.col("words") < F.col("block_size"), F.col("words"))), F.lit(0)).alias("part"),
+        .selectExpr("doc_id", "source", "pos", "size", "source_size", "target", "bucket_start + within as start", "monotonically_increasing_id() as row")
     )
-    pieces = placed.where("size > 0").selectExpr("*", f"explode(sequence(start div {block_words}, (start + size - 1) div {block_words})) as piece")
-    overlap = f"(least(start + size, piece * {block_words} + {{most}}) - greatest(start, piece * {block_words}))"
-    taken = pieces.join(used.select(F.col("pos").alias("p"), "block", "whole", "part"), (F.col("pos") == F.col("p")) & (F.col("piece") == F.col("block")), "left")
-    got = taken.withColumn(
-        "got",
-        F.coalesce(F.col("whole"), F.lit(0)) * F.expr(overlap.format(most=block_words)) + F.greatest(F.lit(0), F.expr(overlap.format(most="coalesce(part, 0)"))),
-    )
-    summed = got.groupBy("doc_id", "source", "pos", "size", "source_size", "target", "start").agg(F.sum("got").alias("taken"))
-    empty = placed.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
-    return summed.unionByName(empty).select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), F.col("taken").cast("long").alias("taken"))
+    pieces = placed.selectExpr("*", f"explode(if(size > 0, sequence(start div {block_words}, (start + size - 1) div {block_words}), array(-1L))) as block")
+    slots = schedule(quota, block_words).select("slot", F.col("pos").alias("p"), F.col("block").alias("at"), F.col("words").alias("most"))
+    words = f"least(start + size, block * {block_words} + most) - greatest(start, block * {block_words})"
+    met = (F.col("pos") == F.col("p")) & (F.col("block") == F.col("at")) & (F.expr(words) > 0)
+    first = f"greatest(start, block * {block_words}) - start"
+    return pieces.join(slots, met, "left").selectExpr("row", "doc_id", "source", "pos", "size", "source_size", "target", "start", "block", "slot", f"{first} as first", f"if(slot is null, 0L, {words}) as words")
+
+
+def sequence(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """slot, source, block, start, doc_id, first, words: the mix itself. In the order of slot and start
+    it is read off as `words` words of each document, from word `first` on."""
+    return _joined(docs, doc_id, text, source, block_words).where("slot is not null").select("slot", "source", "block", "start", "doc_id", "first", "words")
+
+
+def _taken(docs: DataFrame, doc_id: str, text: str, source: str, block_words: int) -> DataFrame:
+    """One row for each document, with taken and slots: where it begins, each time that it is taken."""
+    begins = F.array_sort(F.collect_list(F.when(F.col("first") == 0, F.col("slot"))))
+    by = ["row", "doc_id", "source", "size", "source_size", "target"]
+    return _joined(docs, doc_id, text, source, block_words).groupBy(*by).agg(F.sum("words").alias("taken"), begins.alias("slots"))
+
+
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken: how many of a document's words the mix takes,
+    repeats counted, summed over `sequence`. No document is taken more than twice, as no target is over
+    twice its source."""
+    return _taken(docs, doc_id, text, source, block_words).select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), F.col("taken").cast("long").alias("taken"))
 
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of `docs`, each as often as the mix takes it (never, once or twice; the one document of
-    a source that is taken in part, by what is nearer). Rows equal in id, source and size share what
-    they are taken."""
-    took = mix(docs, doc_id, text, source, block_words).where("size > 0").groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"))
-    took = took.agg(F.round(F.avg(F.col("taken") / F.col("size"))).cast("int").alias("__times")).where("__times > 0")
+    a source that is taken in part, by what is nearer), in the order of the slots at which it begins, so
+    that a prefix is near the weights. Rows equal in id, source and size share what they are taken."""
+    took = _taken(docs, doc_id, text, source, block_words).where("size > 0").groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"))
+    took = took.agg(F.round(F.avg(F.col("taken") / F.col("size"))).cast("int").alias("__times"), F.max(F.struct(F.size("slots").alias("n"), "slots"))["slots"].alias("__slots")).where("__times > 0")
     same = F.col(doc_id).eqNullSafe(F.col("__id")) & F.col(source).cast("string").eqNullSafe(F.col("__source")) & (n_words(F.col(text)) == F.col("__size"))
-    rows = docs.join(took, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-    return rows.drop("__id", "__source", "__size", "__times", "__copy")
+    rows = docs.join(took, same).withColumn("__slot", F.explode(F.slice("__slots", F.lit(1), F.col("__times"))))
+    return rows.orderBy("__slot").drop("__id", "__source", "__size", "__times", "__slots", "__slot")
 
 
 #: The same mix without schedule or blocks: `words` words of a circular stream take a document's

@@ -128,6 +128,24 @@ def test_schedule(spark, sf_dir):
         assert abs((half.source == s).mean() - (slots.source == s).mean()) < 0.02
 
 
+def test_sequence(spark):
+    """The mix reads each source's stream of words block by block; `taken` is its sum, and mixed rows
+    come in its order, near the weights in any prefix."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(5 + i % 7)), "abc"[i % 3]) for i in range(1200)], "doc_id long, text string, source string")
+    seq = mixing.sequence(docs, block_words=32).orderBy("slot", "start").toPandas()
+    size = {r.doc_id: 5 + r.doc_id % 7 for r in docs.collect()}
+    stream = {s: [w for d in g.sort_values("start").drop_duplicates("doc_id").doc_id for w in [(d, k) for k in range(size[d])]] for s, g in seq.groupby("source")}
+    for (_, s, block), g in seq.groupby(["slot", "source", "block"]):
+        got = [(r.doc_id, k) for r in g.itertuples() for k in range(r.first, r.first + r.words)]
+        assert got == stream[s][block * 32 : block * 32 + len(got)]
+    taken = {r.doc_id: r.taken for r in mixing.mix(docs, block_words=32).collect() if r.taken}
+    assert taken == {d: int(n) for d, n in seq.groupby("doc_id").words.sum().items()}
+    order = [(r.doc_id, r.source) for r in mixing.mixed(docs, block_words=32).collect()]
+    share = lambda rows: [sum(s == x for _, s in rows) / len(rows) for x in "abc"]
+    for part in (order[:200], order[: len(order) // 2]):
+        assert max(abs(x - y) for x, y in zip(share(part), share(order), strict=True)) < 0.06
+
+
 def test_lines_exact_near_threshold(spark):
     """Lines on 9, 10 and 11 sites around a threshold of 10, and the first document keeps them."""
     rows = [(100 * k + s, f"a line on {k} sites\nown line of {k} and {s}", f"s{s}") for k in (9, 10, 11) for s in range(k)]
