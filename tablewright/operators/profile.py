@@ -44,7 +44,7 @@ def _finite(c: Column, t: T.DataType) -> Column:
     return F.when(~F.isnan(d) & (F.abs(d) != float("inf")), d)
 
 
-def summary(df: DataFrame, rsd: float = 0.05) -> dict:
+def summary(df: DataFrame, rsd: float = 0.02) -> dict:
     """Job A: {"rows": n, what and place of column: value}. The sketches of distinct counts are fields of
     the aggregation's row, so a smaller `rsd` makes it wider, and slower for tables of many columns."""
     asked = [F.count("*").alias("rows")]
@@ -102,11 +102,12 @@ def histograms(df: DataFrame, found: dict) -> dict[int, list[int]]:
 
 
 def top_values(df: DataFrame, found: dict, most: int = MOST_DISTINCT, top: int = TOP) -> dict[int, list[tuple[str, int]]]:
-    """Job C: for string columns with 1 to `most` distinct values; ties by value."""
-    cells = [F.struct(F.lit(i).alias("i"), ref(f.name).cast("string").alias("v")) for i, f in enumerate(df.schema) if kind(f.dataType) == "string" and 0 < (found.get(f"ndv{i}") or 0) <= most]
+    """Job C: for string columns with 1 to `most` distinct values; ties by value. Columns whose estimate
+    is near `most` are counted exactly."""
+    cells = [F.struct(F.lit(i).alias("i"), ref(f.name).cast("string").alias("v")) for i, f in enumerate(df.schema) if kind(f.dataType) == "string" and 0 < (found.get(f"ndv{i}") or 0) <= most * 1.1]
     if not cells:
         return {}
-    ranked = _counted(df, cells, "v").selectExpr("*", "row_number() over (partition by i order by n desc, v) as r").where(F.col("r") <= top)
+    ranked = _counted(df, cells, "v").selectExpr("*", "row_number() over (partition by i order by n desc, v) as r", "count(*) over (partition by i) as d").where((F.col("r") <= top) & (F.col("d") <= most))
     out: dict[int, list[tuple[str, int]]] = {}
     for r in sorted(ranked.collect(), key=lambda r: (r["i"], r["r"])):
         out.setdefault(r["i"], []).append((r["v"], r["n"]))

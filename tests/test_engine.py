@@ -411,3 +411,13 @@ def test_generator(spark):
     assert {n: df.count() for n, df in t.items()} == {"region": 5, "nation": 25, "supplier": 10, "customer": 150, "part": 200, "orders": 1500, "lineitem": 6000}
     assert t["lineitem"].join(t["orders"], F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").isEmpty()
     assert compare.tables_equal(t["orders"], tables(spark, 0.001)["orders"].repartition(3))
+
+
+def test_top_values_near_the_limit(spark):
+    """Whether top values are listed is decided by the exact number of distinct values."""
+    from tablewright.operators import profile
+
+    df = spark.range(600).selectExpr(*[f"concat('{c}', id % {n}) as {c}{n}" for n in (250, 253, 256, 257, 260) for c in "abcdef"])
+    found = profile.summary(df)
+    listed = profile.top_values(df, found)
+    assert {f for i, f in enumerate(df.columns) if i in listed} == {f"{c}{n}" for n in (250, 253, 256) for c in "abcdef"}
