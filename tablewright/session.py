@@ -40,6 +40,11 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def parallelism(spark: SparkSession) -> int:
+    """Tasks that the session runs at once, or has partitions for in a shuffle, whichever are more."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, removed when the application ends."""
     import uuid
