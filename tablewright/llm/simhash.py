@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import parallelism
 from .common import cut, row_key, text_batches
 from .components import components
 
@@ -161,8 +162,9 @@ def _forests(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def links(fps: DataFrame, dense: int = DENSE) -> DataFrame:
-    """(a, b): links that join all fingerprints (distinct longs in column fp) within MOST_BITS bits."""
-    keys = keyed(fps)
+    """(a, b): links that join all fingerprints (distinct longs in column fp) within MOST_BITS bits. The
+    fingerprints are dealt over all tasks first, as each becomes 66 rows."""
+    keys = keyed(fps.repartition(parallelism(fps.sparkSession), "fp"))
     # under a wildcard only fingerprints that differ in that bit are new to each other
     shared = keys.groupBy("wild", "part").agg(F.count("*").alias("n"), F.min("bit").alias("b0"), F.max("bit").alias("b1"))
     shared = shared.where("n > 1 and not b0 <=> b1 or n > 1 and b0 is null").selectExpr("wild as w", "part as p", "n")
@@ -306,7 +308,7 @@ def _labelled(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
     rows = docs.select(F.col(doc_id).alias("doc_id"), row_key(F.col(doc_id), F.col(text)).alias("key"), F.col(text).alias("text"))
     seen = cut(rows.mapInArrow(_met(width), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, key binary, node long, bands array<long>"))
     classes = cut(seen.groupBy("node").agg(F.min(F.struct("key", "bands")).alias("c")).select("node", "c.key", "c.bands"))
-    keys = classes.select("node", F.explode("bands").alias("band"))
+    keys = classes.select("node", "bands").repartition(parallelism(docs.sparkSession), "node").select("node", F.explode("bands").alias("band"))
     groups = keys.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("n > 1")
     groups = cut(groups.groupBy("n", "x", "lo", "hi").agg(F.min("band").alias("b")).select("b"))
     members = cut(keys.join(groups, F.col("band") == F.col("b")).select("band", "node"))
