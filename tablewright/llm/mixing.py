@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import parallelism
 from .common import cut, n_words
 
 #: Weights by rank of the source in code-point order, repeating.
@@ -29,8 +30,8 @@ BLOCK_WORDS = 1024
 #: Hexadecimal digits of the shuffling hash that make a bucket: prefix sums run over 16^3 buckets of
 #: a source first, then inside each bucket, so no task sorts a whole source.
 BUCKET_DIGITS = 3
-#: Slots of a source made by one task.
-CHUNK_SLOTS = 65_536
+#: Slots of a source that are made together, and most slots of a task.
+CHUNK_SLOTS, TASK_SLOTS = 8192, 1 << 20
 
 
 def shuffled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix") -> DataFrame:
@@ -82,8 +83,10 @@ def schedule(quota: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
         "greatest(0L, least(1L << (bits - 1 - m), ({end} - (point & ((1L << m) - 1)) + (1L << (m + 1)) - 1) div (1L << (m + 1)))) end)"
     )
     chunks = quota.where("slots > 0").selectExpr("*", f"explode(sequence(lo, hi - 1, {CHUNK_SLOTS}L)) as chunk")
+    total, n = quota.agg(F.coalesce(F.sum("slots"), F.lit(0)), F.coalesce(F.sum(F.ceil(F.col("slots") / CHUNK_SLOTS)), F.lit(0))).first()
+    tasks = max(1, min(n, max(parallelism(quota.sparkSession), -(-total // TASK_SLOTS))))
     return (
-        chunks.repartition("chunk")
+        chunks.repartition(tasks)
         .selectExpr("*", f"explode(sequence(chunk, least(chunk + {CHUNK_SLOTS} , hi) - 1)) as point")
         .withColumn("slot", F.expr("cast(conv(reverse(lpad(bin(point), bits, '0')), 2, 10) as long)"))
         .withColumn("rank", F.expr(below.format(end="hi")) - F.expr(below.format(end="lo")))
