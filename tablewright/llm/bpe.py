@@ -30,12 +30,13 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import bucketed, text_batches
 
-#: Text of a chunk, and distinct words whose ids a bucket's task keeps; beyond it, it starts anew and
-#: may encode a word again. Buckets follow spark.sql.shuffle.partitions, which is sized to the data.
-CHUNK_BYTES, MOST_WORDS, LEAST_BUCKETS = 32_000_000, 2_000_000, 64
+#: Text of a chunk, and fewest buckets. Buckets follow spark.sql.shuffle.partitions, which is sized to the data,
+#: so that the distinct words of one stay few: they grow slower than the text.
+CHUNK_BYTES, LEAST_BUCKETS = 32_000_000, 64
 #: Ids of a batch of results.
 BATCH_IDS = 2_000_000
 
@@ -173,7 +174,7 @@ def _encode_buckets(path: str):
         for b in it:
             out = []
             for bucket, places, words in zip(b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
-                if bucket != last or len(known) > MOST_WORDS:
+                if bucket != last:
                     known, last = {}, bucket
                 sizes = _unpack(places.as_py(), 1)[0]
                 raw, at, mine = zstandard.decompress(words.as_py()), 0, []
@@ -291,8 +292,7 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     words = made.where("bucket >= 0").select("chunk", "bucket", "places", "words").repartition("bucket").sortWithinPartitions("bucket")
     back = words.mapInArrow(_encode_buckets(path), "chunk long, bucket int, places binary")
     parts = made.where("bucket < 0").select("chunk", "bucket", "doc_id", "places")
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    run = _positions(id_type, then)
+    run = _positions(to_arrow_type(rows.schema["doc_id"].dataType), then)
     return parts.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(run, f"doc_id {kind}, {gives}")
 
 
