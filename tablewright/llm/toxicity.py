@@ -1,10 +1,10 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are built from labelled text: one trained on ordinary windows, and one that
-has, behind the same bytes, the words that toxic windows have in excess. (zstandard's own trainer on
-toxic windows spends the dictionary on what both kinds of text share: it told held-out documents apart
-hardly better than by chance.) A window of text that is shorter under the toxic dictionary than under
-the ordinary one speaks for toxicity. From the differences of a document's windows, a logistic model
+has, behind the same bytes, the words and beginnings of words that toxic windows have in excess.
+(zstandard's own trainer on toxic windows spends the dictionary on what both kinds of text share; the
+README has figures of what was tried.) A window of text that is shorter under the toxic dictionary
+than under the ordinary one speaks for toxicity. From the differences of a document's windows, a logistic model
 with a calibrated window threshold gives the score.
 
 The model is fitted on a bounded sample: at most TRAIN_DOCS documents of each label (smallest hashes
@@ -36,11 +36,17 @@ from .linear import fit_dense
 
 #: Bounds of the sample, by label.
 TRAIN_DOCS, TRAIN_WINDOWS = 6000, 80_000
-#: Least bytes of a window, which ends at the end of a word.
-WINDOW = 48
-ORDINARY_BYTES, TOXIC_BYTES, LEVEL = 32_768, 16_384, 3
-#: A word is in excess in toxic windows from so many contexts, standard errors and times the ordinary rate.
-LEAST_CONTEXTS, LEAST_ERRORS, LEAST_TIMES = 4, 4.0, 8.0
+#: Least bytes of a window, which ends at the end of a word; longer words are cut, so a window has at most
+#: WINDOW + LONG_WORD bytes.
+WINDOW, LONG_WORD = 48, 256
+ORDINARY_BYTES, TOXIC_BYTES = 32_768, 16_384
+#: How windows are compressed: the best parse, with matches from three bytes on, as faster strategies pass over
+#: the short ones that tell the labels apart.
+SETTINGS = {"strategy": zstandard.STRATEGY_BTOPT, "min_match": 3, "search_log": 5, "hash_log": 17, "chain_log": 17, "window_log": 17, "write_content_size": False, "write_dict_id": False}
+#: The beginning of a word is in excess in toxic windows from so many contexts, standard errors and times the
+#: ordinary rate; beginnings have from LEAST_BYTES to MOST_BYTES.
+LEAST_CONTEXTS, LEAST_ERRORS, LEAST_TIMES = 6, 6.0, 8.0
+LEAST_BYTES, MOST_BYTES = 4, 12
 #: Window thresholds, in bytes saved, of which calibration takes one.
 THRESHOLDS = tuple(range(2, 18))
 #: Further ones at which windows are counted for the logistic model, whatever the calibrated one is.
@@ -51,11 +57,12 @@ def windows(text: str | None) -> list[bytes]:
     """The whole text, A-Z lower-cased, in windows of words."""
     out, now, size = [], [], 0
     for word in (text or "").encode().lower().split():
-        now.append(word)
-        size += len(word) + 1
-        if size > WINDOW:
-            out.append(b" ".join(now))
-            now, size = [], 0
+        for part in [word] if len(word) <= LONG_WORD else [word[i : i + LONG_WORD] for i in range(0, len(word), LONG_WORD)]:
+            now.append(part)
+            size += len(part) + 1
+            if size > WINDOW:
+                out.append(b" ".join(now))
+                now, size = [], 0
     return [*out, b" ".join(now)] if now else out
 
 
@@ -64,25 +71,47 @@ def contexts(parts: list[bytes]) -> Counter:
     repeat counts once."""
     out, seen = Counter(), set()
     for part in parts:
-        words = [b"", *part.split(), b""]
-        for before, word, after in zip(words, words[1:], words[2:], strict=False):
-            if (key := hash((before, word, after))) not in seen:
+        around = [b"", *part.split(), b""]
+        for three in zip(around, around[1:], around[2:], strict=False):
+            if (key := xxhash.xxh3_64_intdigest(b" ".join(three))) not in seen:
                 seen.add(key)
-                out[word] += 1
+                out[three[1]] += 1
+    return out
+
+
+def beginnings(words: Counter) -> Counter:
+    """The same of what words begin with."""
+    out = Counter()
+    for word, n in words.items():
+        for k in range(LEAST_BYTES, min(MOST_BYTES, len(word) - 1) + 1):
+            out[word[:k]] += n
     return out
 
 
 def excess(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
-    """Words that toxic windows have in excess, the most telling last."""
+    """Beginnings of words, then words, that toxic windows have in excess, the most telling last. Of
+    beginnings that lengthen each other the most telling stays, of equals the longest."""
     t, o = contexts(toxic), contexts(ordinary)
     n, m = max(t.total(), 1), max(o.total(), 1)
 
-    def errors(w: bytes) -> float:
-        p = (t[w] + o[w]) / (n + m)
-        return (t[w] / n - o[w] / m) / math.sqrt(p * (1 - p) * (1 / n + 1 / m) + 1e-18)
+    def found(t: Counter, o: Counter) -> dict[bytes, float]:
+        out = {}
+        for w, k in t.items():
+            if k >= LEAST_CONTEXTS and k / n >= LEAST_TIMES * (o[w] + 0.5) / m:
+                p = (k + o[w]) / (n + m)
+                errors = (k / n - o[w] / m) / math.sqrt(p * (1 - p) * (1 / n + 1 / m) + 1e-18)
+                if errors > LEAST_ERRORS:
+                    out[w] = errors
+        return out
 
-    found = [w for w, k in t.items() if k >= LEAST_CONTEXTS and k / n >= LEAST_TIMES * (o[w] + 0.5) / m and errors(w) > LEAST_ERRORS]
-    return sorted(found, key=lambda w: (errors(w), w))
+    words, starts = found(t, o), found(beginnings(t), beginnings(o))
+    taken: set[bytes] = set()
+    chosen = []
+    for w in sorted(starts, key=lambda w: (-starts[w], -len(w), w)):
+        if w not in taken and not any(w[:k] in chosen for k in range(LEAST_BYTES, len(w))):
+            chosen.append(w)
+            taken |= {w[:k] for k in range(LEAST_BYTES, len(w) + 1)}
+    return [w for w in chosen[::-1] if w not in words] + sorted(words, key=lambda w: (words[w], w))
 
 
 def trained(samples: list[bytes], size: int) -> bytes:
@@ -102,11 +131,11 @@ class Model:
     constant: float | None = None
 
     def compressors(self) -> list[zstandard.ZstdCompressor]:
-        out = []
+        out, settings = [], zstandard.ZstdCompressionParameters(**SETTINGS)
         for content in (self.ordinary, self.toxic):
             d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=LEVEL)
-            out.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_dict_id=False))
+            d.precompute_compress(compression_params=settings)
+            out.append(zstandard.ZstdCompressor(compression_params=settings, dict_data=d))
         return out
 
     def inputs(self, stats: np.ndarray) -> np.ndarray:
