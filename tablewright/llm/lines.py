@@ -5,11 +5,11 @@ partial aggregation and merged in the shuffle. Lines whose estimate is near the
 distinct count. A line on SITES sites or more is boilerplate: it stays in the first document that has
 it (smallest doc_id) and is removed everywhere else, so no content leaves the corpus.
 
-`dedup` has one threshold, and lines with fewer than MIN_WORDS words are never removed. `kept`, for the
-pipeline, counts every line that has a word, asks fewer sites of longer lines (SPREAD), and counts
-documents rather than sites for lines of LONG words or more, as such passages may be repeated within
-one site. Of exact copies of a text it keeps the first, as all lines of the others stand there; they
-would be left as fragments of their shorter lines otherwise.
+With SPREAD every line that has a word counts: fewer sites are asked of longer lines, and documents
+rather than sites are counted for lines of LONG words or more, as such passages may be repeated within
+one site. With a plain number of `sites` there is one threshold, and lines of fewer than MIN_WORDS
+words stay. `kept`, for the pipeline, keeps of exact copies of a text the first, as all lines of the
+others stand there; they would be left as fragments of their shorter lines otherwise.
 
 Defined results: a null text stays null with no lines; a null site is a site of its own; empty lines
 are never removed; a document with a null doc_id is
@@ -29,7 +29,7 @@ from .common import cut, n_words, row_key, text_batches
 
 #: Sites on which a line counts as boilerplate, and the fewest words of a line that can.
 SITES, MIN_WORDS = 10, 4
-#: For `kept`: (fewest words of a line, sites that it needs), and from how many words on documents count.
+#: (fewest words of a line, sites that it needs), and from how many words on documents count.
 SPREAD, LONG = ((1, 15), (2, 10), (4, 5), (20, 3), (50, 2)), 20
 #: Size of a sketch (2^LG_K slots), and the relative error beyond which its estimate is trusted: three
 #: standard errors of 1.04 / 2^(LG_K / 2), and one site at least.
@@ -88,10 +88,10 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*[b.column(i) for i in keep], pa.array(texts, pa.string())], names=[*[b.schema.names[i] for i in keep], "__text"])
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str = "source", sites: int = SITES) -> DataFrame:
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str = "source", sites: int = SITES, spread: tuple[tuple[int, int], ...] | None = None, long: int | None = None) -> DataFrame:
     """`docs` with boilerplate lines removed from `text`, and line_count and removed_lines behind its
-    columns."""
-    return _removed(docs, doc_id, text, site, line_rows(docs, doc_id, text, site, ((MIN_WORDS, sites),)))
+    columns. `spread` takes the place of the one threshold of `sites`."""
+    return _removed(docs, doc_id, text, site, line_rows(docs, doc_id, text, site, spread or ((MIN_WORDS, sites),), long))
 
 
 def _removed(docs: DataFrame, doc_id: str, text: str, site: str, rows: DataFrame) -> DataFrame:
@@ -124,8 +124,11 @@ def kept(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", site: str
 ORACLE_SQL = r"""
 with l as (select doc_id, source, text, generate_subscripts(string_split(text, chr(10)), 1) as pos, unnest(string_split(text, chr(10))) as raw from documents),
 n as (select *, lower(trim(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g'))) as norm from l),
-b as (select norm, min(doc_id) as first from n where len(string_split(norm, ' ')) >= 4 group by norm having count(distinct coalesce('s' || source, '')) >= 10),
-k as (select n.doc_id, n.source, n.text, pos, raw, b.norm is not null and n.doc_id is distinct from b.first as gone from n left join b on n.norm = b.norm)
+w as (select *, case when norm = '' then 0 else len(string_split(norm, ' ')) end as words from n),
+b as (select norm, min(doc_id) as first from w where words > 0 group by norm, words
+      having count(distinct case when words >= 20 then 'd' || coalesce(doc_id::varchar, md5(text)) else coalesce('s' || source, '') end)
+             >= case when words >= 50 then 2 when words >= 20 then 3 when words >= 4 then 5 when words >= 2 then 10 else 15 end),
+k as (select w.doc_id, w.source, w.text, pos, raw, b.norm is not null and w.doc_id is distinct from b.first as gone from w left join b on w.norm = b.norm)
 select doc_id, cast(count(*) as bigint) as line_count, cast(count(*) filter (gone) as bigint) as removed_lines,
        coalesce(string_agg(raw, chr(10) order by pos) filter (not gone), '') as text
 from k group by doc_id, source, k.text

@@ -62,7 +62,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup(table(spark, sf_dir, "documents")).select("doc_id", "line_count", "removed_lines", "text")
+    return lines.dedup(table(spark, sf_dir, "documents"), spread=lines.SPREAD, long=lines.LONG).select("doc_id", "line_count", "removed_lines", "text")
 
 
 #: Query and SQL; None where SQL cannot express the operator.
