@@ -3,7 +3,8 @@
 Labelled page outcomes (bad = 1, good = 0) are counted by host. A host's rate is shrunk through
 beta-binomial priors: the suffix towards all pages, the registered domain towards its suffix, the
 host towards its domain. How strongly is estimated from the data, for each level, by the method of
-moments (the intra-class correlation of the counts). A page is blocked if the lower bound of its
+moments (the intra-class correlation of the counts, plus Z of its standard errors where groups do not
+differ, so that a prior is no stronger than the number of labelled pages can show). A page is blocked if the lower bound of its
 host's posterior is at least LIMIT; a host without outcomes has its domain's posterior, and so on up.
 
 Defined results: a null url, or one without "://", has empty host and path, no rule, and is allowed
@@ -14,6 +15,8 @@ with the longer host wins, then the smaller string. Columns besides the named on
 
 from __future__ import annotations
 
+from math import sqrt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,7 +61,8 @@ def levels(host: Column) -> tuple[Column, Column]:
 
 def strength(groups: DataFrame, parent_rate: str) -> float:
     """Pages that a prior of this level weighs: (1 - r) / r for the intra-class correlation r of the
-    groups' counts about their parents' rates. One row comes to the driver."""
+    groups' counts about their parents' rates, at the upper end of what it may be: where groups do not
+    differ, `between` is about `var` times a chi-square of m - 1 degrees. One row comes to the driver."""
     g = groups.where("n > 0").agg(
         F.count("*").alias("m"),
         F.sum("n").alias("all_n"),
@@ -70,7 +74,7 @@ def strength(groups: DataFrame, parent_rate: str) -> float:
         return WEAK
     var = g["within"] / g["all_n"]
     room = var * (g["all_n"] - g["n2"] / g["all_n"] - (g["m"] - 1))
-    r = (g["between"] - var * (g["m"] - 1)) / room if room > 0 else 0.0
+    r = (g["between"] - var * (g["m"] - 1) + Z * var * sqrt(2 * (g["m"] - 1))) / room if room > 0 else 0.0
     return min(max((1 - r) / r, WEAK), STRONG) if r > 0 else STRONG
 
 
@@ -125,19 +129,19 @@ g as (select coalesce(sum(k) / nullif(sum(n), 0), 0)::double as p from hosts),
 s0 as (select suffix, sum(n) as n, sum(k) as k, any_value(g.p) as p from hosts, g group by suffix),
 sm as (select count(*) as m, sum(n) as al, sum(n::double * n) as n2, sum(n * (k / n - p) ** 2) as bt, sum(n * p * (1 - p)) as wi from s0 where n > 0),
 s1 as (select case when m < 2 or coalesce(wi, 0) = 0 then 2.0 else (with x as (select wi / al as var),
-        y as (select case when var * (al - n2 / al - (m - 1)) > 0 then (bt - var * (m - 1)) / (var * (al - n2 / al - (m - 1))) else 0 end as r from x)
+        y as (select case when var * (al - n2 / al - (m - 1)) > 0 then (bt - var * (m - 1) + 1.645 * var * sqrt(2 * (m - 1))) / (var * (al - n2 / al - (m - 1))) else 0 end as r from x)
         select case when r > 0 then least(greatest((1 - r) / r, 2.0), 1000.0) else 1000.0 end from y) end as w from sm),
 s as (select suffix, (w * p + k) / (w + n) as p from s0, s1),
 d0 as (select domain, suffix, sum(n) as n, sum(k) as k, any_value(s.p) as p from hosts join s using (suffix) group by domain, suffix),
 dm as (select count(*) as m, sum(n) as al, sum(n::double * n) as n2, sum(n * (k / n - p) ** 2) as bt, sum(n * p * (1 - p)) as wi from d0 where n > 0),
 d1 as (select case when m < 2 or coalesce(wi, 0) = 0 then 2.0 else (with x as (select wi / al as var),
-        y as (select case when var * (al - n2 / al - (m - 1)) > 0 then (bt - var * (m - 1)) / (var * (al - n2 / al - (m - 1))) else 0 end as r from x)
+        y as (select case when var * (al - n2 / al - (m - 1)) > 0 then (bt - var * (m - 1) + 1.645 * var * sqrt(2 * (m - 1))) / (var * (al - n2 / al - (m - 1))) else 0 end as r from x)
         select case when r > 0 then least(greatest((1 - r) / r, 2.0), 1000.0) else 1000.0 end from y) end as w from dm),
 d as (select domain, suffix, (w * p + k) / (w + n) as p from d0, d1),
 h0 as (select hosts.*, d.p from hosts join d using (domain, suffix)),
 hm as (select count(*) as m, sum(n) as al, sum(n::double * n) as n2, sum(n * (k / n - p) ** 2) as bt, sum(n * p * (1 - p)) as wi from h0 where n > 0),
 h1 as (select case when m < 2 or coalesce(wi, 0) = 0 then 2.0 else (with x as (select wi / al as var),
-        y as (select case when var * (al - n2 / al - (m - 1)) > 0 then (bt - var * (m - 1)) / (var * (al - n2 / al - (m - 1))) else 0 end as r from x)
+        y as (select case when var * (al - n2 / al - (m - 1)) > 0 then (bt - var * (m - 1) + 1.645 * var * sqrt(2 * (m - 1))) / (var * (al - n2 / al - (m - 1))) else 0 end as r from x)
         select case when r > 0 then least(greatest((1 - r) / r, 2.0), 1000.0) else 1000.0 end from y) end as w from hm),
 h as (select host, w * p + k as a, w * (1 - p) + n - k as b from h0, h1),
 low as (select host, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) ** 2 * (a + b + 1))) as lower from h)
