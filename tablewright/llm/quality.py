@@ -83,8 +83,10 @@ def features(raw: bytes, words: list[bytes], repeated: int) -> tuple[np.ndarray,
         counts[s] = counts.get(s, 0) + 1
     for s in map(b" ".join, zip(shapes, shapes[1:], strict=False)):
         counts[s] = counts.get(s, 0) + 1
-    at = np.fromiter((xxhash.xxh32_intdigest(s) % (DIMS - 16) for s in counts), np.int32, len(counts))
-    value = np.sqrt(np.fromiter(counts.values(), float, len(counts)) / max(len(words), 1))
+    places = np.fromiter((xxhash.xxh32_intdigest(s) % (DIMS - 16) for s in counts), np.int64, len(counts))
+    total = np.bincount(places, np.fromiter(counts.values(), float, len(counts)), DIMS - 16)  # keys that collide are one
+    at = np.nonzero(total)[0].astype(np.int32)
+    value = np.sqrt(total[at] / max(len(words), 1))
     share = min(15, int(16 * repeated / max(len(words), 1)))
     return np.append(at, np.int32(DIMS - 16 + share)), np.append(value, 1.0)
 
@@ -140,10 +142,20 @@ def posteriors(patterns: dict[str, int], rounds: int = 200) -> tuple[dict[str, f
     return dict(zip(keys, post.tolist(), strict=True)), accuracy, share
 
 
+def _patterns(seen: DataFrame) -> dict[str, int]:
+    return dict(seen.where("n_words > 0").groupBy("votes").count().collect())  # at most 3^9 rows
+
+
+def labellers(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """labeller (its place in the votes), on_good and on_bad (how often it is right where it votes, by
+    the model), good_share (of documents that have words); no row for a table without any."""
+    _, accuracy, share = posteriors(_patterns(observe(docs, doc_id, text)))
+    return docs.sparkSession.createDataFrame([(j, good, bad, share) for j, (good, bad) in enumerate(accuracy)], "labeller int, on_good double, on_bad double, good_share double")
+
+
 def fit(seen: DataFrame) -> np.ndarray:
     """Weights of the scorer, from rows as observe() gives them."""
-    counts = dict(seen.where("n_words > 0").groupBy("votes").count().collect())  # at most 3^9 rows
-    post, _, _ = posteriors(counts)
+    post, _, _ = posteriors(_patterns(seen))
     got = seen.where("n_words > 0").select(F.xxhash64("key").alias("h"), "key", "votes", "at", "value").orderBy("h", "key").limit(TRAIN_DOCS).toArrow()
     if not got.num_rows:
         return np.zeros(DIMS + 1)
