@@ -21,7 +21,17 @@ def cut(df: DataFrame) -> DataFrame:
     a re-read, not a recomputation. The files go when the application ends."""
     path = scratch(df.sparkSession, "cut")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_at = path
+    return out
+
+
+def release(*cuts: DataFrame) -> None:
+    """Deletes the files of what cut() returned, once nothing reads them any more."""
+    for df in cuts:
+        context = df.sparkSession.sparkContext
+        target = context._jvm.org.apache.hadoop.fs.Path(df.cut_at)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
 #: Most rows of a batch that goes to Python: texts can be long, and a worker holds a batch several times.
