@@ -116,7 +116,8 @@ def _joined(docs: DataFrame, doc_id: str, text: str, source: str, block_words: i
     words = f"least(start + size, block * {block_words} + most) - greatest(start, block * {block_words})"
     met = (F.col("pos") == F.col("p")) & (F.col("block") == F.col("at")) & (F.expr(words) > 0)
     first = f"greatest(start, block * {block_words}) - start"
-    return pieces.join(slots, met, "left").selectExpr("row", "doc_id", "source", "pos", "size", "source_size", "target", "start", "block", "slot", f"{first} as first", f"if(slot is null, 0L, {words}) as words")
+    # slots grow with the words, and pack so well that their bytes on disk would pass for a table to broadcast
+    return pieces.join(slots.hint("merge"), met, "left").selectExpr("row", "doc_id", "source", "pos", "size", "source_size", "target", "start", "block", "slot", f"{first} as first", f"if(slot is null, 0L, {words}) as words")
 
 
 def sequence(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", block_words: int = BLOCK_WORDS) -> DataFrame:
