@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ def size_bucket(n_bytes: Column) -> Column:
 def host_of(url: Column) -> Column:
     """Lower-case host without user, port or brackets; null where there is none."""
     authority = F.lower(F.trim(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)))
+    authority = F.regexp_replace(authority, "^.*@", "")
     six = F.regexp_extract(authority, r"^\[([^\]]*)\]", 1)
     host = F.when(six != "", six).otherwise(F.regexp_extract(authority, r"^([^:]*)", 1))
     return F.when(host != "", host)
@@ -44,16 +46,31 @@ def iso_millis(ms: Column) -> Column:
     return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), fraction, F.lit("+00:00"))
 
 
-#: Path roots and query keys whose values are not published; fixed values.
-HOST_ROOTS = ("home", "Users", "root", "mnt", "data", "tmp", "var")
-SECRET_KEYS = ("token", "key", "api_key", "apikey", "access_token", "secret", "password", "signature", "sig")
+#: What may stand right before a path of a machine, the first folders of such paths, words that
+#: make a query key secret wherever they stand in it, whole keys, and beginnings of keys.
+PATH_LEADS = r"[\s\"'`=,;:\[(<]"
+HOST_ROOTS = ("home", "Users", "root", "srv", "tmp", "var/tmp", "var/folders", "private", "mnt", "media", "opt", "scratch")
+SECRET_WORDS = ("token", "secret", "password", "passwd", "api_key", "api-key", "apikey", "credential", "signature")
+SECRET_KEYS = ("key", "sig", "auth", "pwd")
+SECRET_STARTS = ("x-amz-", "x-goog-")
+
+
+def _any(words: tuple[str, ...]) -> str:
+    return "(?:" + "|".join(words) + ")"
 
 
 def redacted(text: Column) -> Column:
-    """Credentials of URLs and paths of machines replaced by a mark."""
-    out = F.regexp_replace(text, r"([A-Za-z][A-Za-z0-9+.-]*://)[^/\s:@?#]+(?::(?![0-9]*/)[^\s@?#]*)?@", "$1<redacted-credential>@")
-    out = F.regexp_replace(out, rf"(?i)(?<=[?&;])({'|'.join(SECRET_KEYS)})=[^&#\s\"']+", "$1=<redacted-credential>")
-    return F.regexp_replace(out, rf"(?<![A-Za-z0-9._~:/-])/(?:{'|'.join(HOST_ROOTS)})(?=/|$|[\s\"'])[^\s\"']*", "<redacted-path>")
+    """Credentials of URLs and paths of machines replaced by a mark: a user part with or without a
+    password (digits and a slash behind a colon are a port and a path), values of secret query keys,
+    and paths under HOST_ROOTS or a Windows user's folder."""
+    user, password = r"[^@:/?#\s]+", r"(?!\d*/)[^@?#\s]*"
+    out = F.regexp_replace(text, rf"(?<=[A-Za-z0-9+.-]://){user}(?::{password})?@", "<redacted-credential>@")
+    part = r"[\w.-]*"
+    key = rf"{part}{_any(SECRET_WORDS)}{part}|{_any(SECRET_KEYS)}|{_any(SECRET_STARTS)}[a-z-]+"
+    out = F.regexp_replace(out, rf"(?i)([?&;])({key})=[^&#\s\"']+", "$1$2=<redacted-credential>")
+    lead, rest, end = rf"(?:^|(?<={PATH_LEADS})|(?<=file://))", r"[^\s\"']*", r"(?=[\s\"']|$)"
+    out = F.regexp_replace(out, rf"{lead}/{_any(HOST_ROOTS)}(?:/{rest}|{end})", "<redacted-path>")
+    return F.regexp_replace(out, rf"{lead}[A-Za-z]:\\Users\\{rest}", "<redacted-path>")
 
 
 def is_number(text: Column) -> Column:
@@ -63,8 +80,7 @@ def is_number(text: Column) -> Column:
 
 def optional_int(text: Column) -> Column:
     """A whole number that may begin with "+"; "?" and "" are null, anything else fails."""
-    bare = F.trim(text)
-    return F.when(bare.isin("?", "", "-"), None).otherwise(F.regexp_replace(bare, r"^\+", "").cast("int"))
+    return F.when(~text.isin("?", ""), F.regexp_replace(F.trim(text), r"^\++", "").cast("int"))
 
 
 def reversible(value: Column, narrow: str, wide: str) -> Column:
@@ -72,25 +88,59 @@ def reversible(value: Column, narrow: str, wide: str) -> Column:
     return value.isNull() | value.try_cast(narrow).cast(wide).eqNullSafe(value)
 
 
+#: The signs of a sparkline, a blank and eight heights.
+SPARKS = " ▁▂▃▄▅▆▇█"
+
+
 def sparkline(counts: Column) -> Column:
-    """Eight block heights for an array of counts, the largest being full."""
-    blocks = F.array(*[F.lit(chr(0x2581 + i)) for i in range(8)])
+    """A sign for each count by its share of the largest, rounded half to even; blanks for zeros only."""
     top = F.array_max(counts)
-    height = lambda c: F.greatest(F.lit(1), F.coalesce(F.ceil(c * 8 / F.nullif(top, F.lit(0))), F.lit(1))).cast("int")
-    return F.array_join(F.transform(counts, lambda c: F.element_at(blocks, height(c))), "")
+    place = lambda c: F.coalesce(F.rint(F.try_divide(c, top) * (len(SPARKS) - 1)), F.lit(0.0)).cast("int") + 1
+    return F.array_join(F.transform(counts, lambda c: F.substring(F.lit(SPARKS), place(c), F.lit(1))), "")
 
 
 @F.pandas_udf(T.BinaryType())
 def point_wkb(x: pd.Series, y: pd.Series) -> pd.Series:
     """Well-known binary of points, little-endian; null where a coordinate is."""
-    import struct
-
-    return pd.Series([None if pd.isna(a) or pd.isna(b) else struct.pack("<BIdd", 1, 1, a, b) for a, b in zip(x, y, strict=True)])
+    packed = np.zeros(len(x), [("order", "u1"), ("kind", "<u4"), ("x", "<f8"), ("y", "<f8")])
+    packed["order"], packed["kind"], packed["x"], packed["y"] = 1, 1, x, y
+    raw, size = packed.tobytes(), packed.itemsize
+    out = pd.Series([raw[i : i + size] for i in range(0, len(raw), size)], dtype=object)
+    return out.where(~(x.isna() | y.isna()).reset_index(drop=True), None)
 
 
 @F.pandas_udf(T.BinaryType())
 def line_wkb(xy: pd.Series) -> pd.Series:
-    """Well-known binary of a line from a flat list x, y, x, y, ..."""
-    import struct
-
-    return pd.Series([None if v is None or len(v) < 4 else struct.pack(f"<BII{len(v)}d", 1, 2, len(v) // 2, *v) for v in xy])
+    """Well-known binary of a line from a flat list x, y, x, y, ...; null for less than two points."""
+    head = np.array([(1, 2, 0)], [("order", "u1"), ("kind", "<u4"), ("points", "<u4")])
+
+    def one(v) -> bytes | None:
+        if v is None or len(v) < 4:
+            return None
+        head["points"] = len(v) // 2
+        return head.tobytes() + np.asarray(v, "<f8").tobytes()
+
+    return xy.map(one)
+
+
+def type_text(label: str) -> str:
+    """A type's label with the bodies of structs left out, so that structs of any shape are one type."""
+    out, depth, at = [], 0, 0
+    while at < len(label):
+        opened = next((w for w in ("struct<", "STRUCT(") if label.startswith(w, at)), None)
+        if depth:
+            depth += (label[at] in "<(") - (label[at] in ">)")
+            if not depth:
+                out.append("..." + label[at])
+        elif opened:
+            out.append(opened)
+            depth, at = 1, at + len(opened) - 1
+        else:
+            out.append(label[at])
+        at += 1
+    return "".join(out)
+
+
+def lossy_text(raw: Column) -> Column:
+    """Bytes as text; what is not UTF-8 becomes the replacement character."""
+    return F.make_valid_utf8(raw.cast("string"))

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from .names import ref
 
 
+
 def parse(text: Column, strict: bool = True) -> Column:
     """JSON text as VARIANT; bad text fails, or is null if not strict. SQL NULL and JSON null differ."""
     return F.parse_json(text) if strict else F.try_parse_json(text)
@@ -38,14 +39,10 @@ def variant_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.VariantType)]
 
 
-def comparable(df: DataFrame) -> DataFrame:
-    """VARIANT columns as JSON text and maps as sorted entries, so that rows can be grouped and compared."""
-    made = []
-    for f in df.schema:
-        c = ref(f.name)
-        if isinstance(f.dataType, T.VariantType):
-            c = F.to_json(c)
-        elif isinstance(f.dataType, T.MapType):
-            c = F.array_sort(F.map_entries(c))
-        made.append(c.alias(f.name))
-    return df.select(*made)
+def required(df: DataFrame, columns: list[str]) -> DataFrame:
+    """`df`, refusing the first row that has SQL NULL in one of these columns, JSON null being a value."""
+    from ..sources.readers import refusing
+
+    for c in columns:
+        df = refusing(df, ref(c).isNull(), F.concat(F.lit(f"null in the required column {c}: "), F.to_json(F.struct(*[ref(x) for x in df.columns if x not in columns]))))
+    return df

@@ -65,7 +65,8 @@ def query(text: str, fields: dict[str, list[str]], aliases: dict[str, str] | Non
 
 
 def match_rank(terms: list[str], key: str, names: list[str]) -> Column:
-    """0: each term is a whole word of the key; 1: each is in the key; 2: in the key or names; 3 else."""
+    """How well a row answers a search, best first: 0 if the key is made of words that include all terms,
+    1 if it contains them somewhere, 2 if it does so together with the names, 3 if not."""
     low = [t.lower() for t in terms]
     k = F.lower(F.col(key))
     words = F.split(k, "[-_]+")
@@ -74,10 +75,10 @@ def match_rank(terms: list[str], key: str, names: list[str]) -> Column:
 
 
 def examples(df: DataFrame, by: str, item: str, group: str, n: int = 3) -> DataFrame:
-    """by, items, groups (distinct), examples (the first n items by name)."""
+    """by, items, groups (distinct), examples (the first n items by name), in the order of `by`."""
     firsts = df.select(by, item).distinct().selectExpr(by, item, f"row_number() over (partition by {by} order by {item}) as r").where(F.col("r") <= n)
     firsts = firsts.groupBy(by).agg(F.sort_array(F.collect_list(item)).alias("examples"))
-    return df.groupBy(by).agg(F.count("*").alias("items"), F.count_distinct(group).alias("groups")).join(firsts, by)
+    return df.groupBy(by).agg(F.count("*").alias("items"), F.count_distinct(group).alias("groups")).join(firsts, by).orderBy(by)
 
 
 def status_counts(df: DataFrame, statuses: list[str], column: str = "status") -> DataFrame:
@@ -95,6 +96,8 @@ CODE = ("html", "markdown", "_md", "code", "source", "body", "xml")
 PLACES = ("geometry", "wkb", "wkt", "geom")
 LINKS = ("url", "href", "link")
 AXES = ("lat", "lon")
+#: Marks in frequent values that speak for code; fixed values.
+MARKS = ("<html", "<div", "<p>", "<a ", "<b>", "<table", "<script", "<!--", "```", "function ", "def ", "import ", '{"', '"}')
 
 
 def column_tag() -> Column:
@@ -110,7 +113,7 @@ def column_tag() -> Column:
         .when(has(name, CODE), "code-strings")
         .when(has(name, PLACES), "coordinates")
         .when(F.lower(top).rlike("https?://"), "urls")
-        .when(has(top, ("<html", "<div", "<p>", "<a ", "<b>", "<table", "<script", "<!--", "```", "function ", "def ", "import ", '{"', '}"')) | F.ltrim(top).startswith("{"), "code-strings")
+        .when(has(top, MARKS) | F.ltrim(top).startswith("{"), "code-strings")
         .when(length.isNull(), None)
         .when(length > 80, "prose")
         .when(few, "enums")
@@ -155,3 +158,8 @@ def high_cardinality(profile: DataFrame, table: str = "table", share: float = 0.
     """table, high_cardinality: whether any string or binary column has so many distinct values."""
     hit = F.col("dtype").isin("string", "binary") & (F.coalesce("ndv_approx", F.lit(0)) >= share * F.col("rows"))
     return profile.where("rows > 0").groupBy(table).agg(F.max(F.coalesce(hit, F.lit(False))).alias("high_cardinality"))
+
+
+def rollup(df: DataFrame, by: str, status: str, passing: str) -> DataFrame:
+    """by, passed, n: how many rows of each group pass, and how many there are."""
+    return df.groupBy(by).agg(F.count_if(F.col(status) == passing).alias("passed"), F.count("*").alias("n"))

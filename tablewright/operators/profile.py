@@ -1,13 +1,15 @@
 """Column profiles of a whole table in three jobs, however many columns it has.
 
 Job A is one aggregation: counts, bounds, means, approximate distinct counts, lengths. Job B counts
-equal-width buckets of every column with two or more values in one pass, job C the values of string
-columns with few distinct ones. B and C turn a row into one small struct for each column asked and
-count with partial aggregation, so that what is shuffled is a few rows for each column and task.
+equal-width buckets of every column with two or more values, job C the values of string columns with
+few distinct ones, as one small struct for each column and row. All count with partial aggregation, so
+that what is shuffled is a few rows for each column and task.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +19,8 @@ from ..functions.types import kind, label
 
 #: Buckets of a histogram, values listed, and distinct values beyond which none are.
 BUCKETS, TOP, MOST_DISTINCT = 10, 5, 256
+#: Columns whose histograms are one aggregation; more would be too much code for one compiled method.
+GROUP = 8
 
 SCHEMA = (
     "column string, dtype string, rows long, null_count long, min string, max string, mean double, ndv_approx long, mean_length double, length_min long, length_max long, "
@@ -88,17 +92,21 @@ def _counted(df: DataFrame, cells: list[Column], value: str) -> DataFrame:
 
 
 def histograms(df: DataFrame, found: dict) -> dict[int, list[int]]:
-    """Job B. A column of one value has no cells; the caller knows its count."""
-    cells = []
+    """Job B. A column of one value has no cells; the caller knows its count. Cells are counted without
+    making rows of them; each group of GROUP columns is one aggregation over these columns alone."""
+    asked = []
     for i, f in enumerate(df.schema):
         low, high = found.get(f"low{i}"), found.get(f"high{i}")
         if low is not None and low < high:
             x = _finite(ref(f.name), f.dataType) if kind(f.dataType) == "numeric" else _millis(ref(f.name), f.dataType).cast("double")
-            cells.append(F.struct(F.lit(i).alias("i"), bucket(x, float(low), float(high)).alias("b")))
-    out: dict[int, list[int]] = {}
-    for r in _counted(df, cells, "b").collect() if cells else []:  # at most BUCKETS rows for each column
-        out.setdefault(r["i"], [0] * BUCKETS)[r["b"] - 1] = r["n"]
-    return out
+            asked.append((i, bucket(x, float(low), float(high))))
+    parts = []
+    for at in range(0, len(asked), GROUP):
+        group = asked[at : at + GROUP]
+        cells = df.select(*[b.alias(f"b{i}") for i, b in group])
+        counts = cells.agg(*[F.count_if(F.col(f"b{i}") == k + 1).alias(f"n{i}_{k}") for i, _ in group for k in range(BUCKETS)])
+        parts.append(counts.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.array(*[F.col(f"n{i}_{k}") for k in range(BUCKETS)]).alias("n")) for i, _ in group])).alias("c")).select("c.*"))
+    return {r["i"]: r["n"] for r in reduce(DataFrame.unionAll, parts).collect()} if parts else {}
 
 
 def top_values(df: DataFrame, found: dict, most: int = MOST_DISTINCT, top: int = TOP) -> dict[int, list[tuple[str, int]]]:
@@ -115,8 +123,16 @@ def top_values(df: DataFrame, found: dict, most: int = MOST_DISTINCT, top: int =
 
 
 def sampled(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """A random sample of exactly n rows; the table itself if it has no more."""
-    return df.orderBy(F.rand(seed)).limit(n) if df.count() > n else df
+    """A random sample of exactly n rows; the table itself if it has no more. Chosen by a hash of the
+    row, so the layout of the table does not matter."""
+    plain = [ref(f.name) if not _unhashed(f.dataType) else F.to_json(F.struct(ref(f.name))) for f in df.schema]
+    return df.orderBy(F.xxhash64(F.lit(seed), *plain)).limit(n) if df.count() > n else df
+
+
+def _unhashed(t: T.DataType) -> bool:
+    """Whether the type holds a map or a variant, which have no hash."""
+    inner = [t.elementType] if isinstance(t, T.ArrayType) else [f.dataType for f in t] if isinstance(t, T.StructType) else []
+    return isinstance(t, (T.MapType, T.VariantType)) or any(map(_unhashed, inner))
 
 
 def profile(df: DataFrame, sample: int | None = None) -> DataFrame:
