@@ -55,6 +55,21 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def put(spark: SparkSession, path: str, content: bytes, forget: bool = False) -> str:
+    """A file with this content, through Spark's file systems; with `forget` it goes when the
+    application ends."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(target)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+    if forget:
+        fs.deleteOnExit(target)
+    return path
+
+
 def reachable(spark: SparkSession) -> SparkSession:
     """Lets Python workers on this machine import the package from where it is, whatever folder the
     application was started in. Elsewhere it has to be installed or sent along."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 
@@ -12,23 +13,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import ref
-from .readers import BadRecord, csv, with_index
+from .readers import BadRecord, csv, first_files, refusing, strict_csv, whole, with_index
 
 
 def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.option("lineSep", "\n").text(path).select(F.regexp_replace("value", "\r$", "").alias("value"), F.col("_metadata.file_path").alias("file"))
 
 
-def _or_fail(ok: Column, value: Column, what: str) -> Column:
-    return F.when(ok, value).otherwise(F.raise_error(F.concat(F.lit(f"{what}: "), F.substring(F.coalesce(F.col("value"), F.lit("")), 1, 200))))
+def _holding(rows: DataFrame, ok: Column, what: str) -> DataFrame:
+    """`rows`, failing at the first whose `value` does not hold `ok`, whatever is later asked for."""
+    return refusing(rows, ~F.coalesce(ok, F.lit(False)), F.concat(F.lit(f"{what}: "), F.substring(F.coalesce(F.col("value"), F.lit("")), 1, 200)))
 
 
 def daily_fixed_width(spark: SparkSession, path: str, missing: int = -9999) -> DataFrame:
     """Station, element and up to 31 days in one line: a row for each day that has a value. A line of
     another length and a day that its month lacks are refused."""
-    v = F.col("value")
-    line = _or_fail(F.char_length(v) == 269, v, "a line is not 269 characters long")
-    rows = _lines(spark, path).select(F.when(v != "", line).alias("value")).where("value is not null")
+    rows = _holding(_lines(spark, path).where("value != ''"), F.char_length("value") == 269, "a line is not 269 characters long")
     day = F.explode(F.sequence(F.lit(1), F.lit(31)))
     rows = rows.select("value", day.alias("day"))
     at = 22 + (F.col("day") - 1) * 8
@@ -38,7 +38,7 @@ def daily_fixed_width(spark: SparkSession, path: str, missing: int = -9999) -> D
         F.trim(cell(0, 5)).cast("int").alias("measured"), *[F.nullif(F.trim(cell(5 + i, 1)), F.lit("")).alias(n) for i, n in enumerate(("m_flag", "q_flag", "s_flag"))],
     )
     date = F.make_date("year", "month", "day")  # fails on a date that is none
-    return rows.where(F.col("measured") != missing).select("station", date.alias("date"), "element", F.col("measured").alias("value"), "m_flag", "q_flag", "s_flag")
+    return whole(rows.where(F.col("measured") != missing).select("station", date.alias("date"), "element", F.col("measured").alias("value"), "m_flag", "q_flag", "s_flag"))
 
 
 def xml_rows(spark: SparkSession, path: str, schema: T.StructType | str, row_tag: str = "row") -> DataFrame:
@@ -51,16 +51,16 @@ def xml_rows(spark: SparkSession, path: str, schema: T.StructType | str, row_tag
         raise BadRecord(f"attributes not in the schema: {', '.join(unknown)}")
     text = T.StructType([T.StructField(f"_{f.name}", T.StringType()) for f in wanted])
     rows = spark.read.format("xml").option("rowTag", row_tag).schema(text).load(path)
-    return rows.select(*[F.col(f"`_{f.name}`").cast(f.dataType).alias(f.name) for f in wanted])
+    return whole(rows.select(*[F.col(f"`_{f.name}`").cast(f.dataType).alias(f.name) for f in wanted]))
 
 
 def word_vectors(spark: SparkSession, path: str, dimension: int) -> DataFrame:
     """The last `dimension` fields are the vector, all before them the token, blanks included."""
     parts = F.split("value", " ")
     ok = F.size(parts) > dimension
-    rows = _lines(spark, path).where("value != ''").select(_or_fail(ok, parts, f"fewer than {dimension} numbers").alias("p"))
+    rows = _holding(_lines(spark, path).where("value != ''"), ok, f"fewer than {dimension} numbers").select(parts.alias("p"))
     n = F.size("p")
-    return rows.select(F.array_join(F.slice("p", F.lit(1), n - dimension), " ").alias("token"), F.transform(F.slice("p", n - dimension + 1, F.lit(dimension)), lambda x: x.cast("float")).alias("vector"))
+    return whole(rows.select(F.array_join(F.slice("p", F.lit(1), n - dimension), " ").alias("token"), F.transform(F.slice("p", n - dimension + 1, F.lit(dimension)), lambda x: x.cast("float")).alias("vector")))
 
 
 def white_space(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame:
@@ -86,16 +86,16 @@ def after_preamble(spark: SparkSession, path: str, names: list[str]) -> DataFram
     first = rows.where(good).agg(F.min("row_index")).first()[0]
     if first is None:
         raise BadRecord(f"no line of {path} holds {len(names)} numbers")
-    body = rows.where((F.col("row_index") >= first) & (F.trim("value") != "")).select(_or_fail(good, F.col("p"), "not a row of numbers").alias("p"))
+    body = _holding(rows.where((F.col("row_index") >= first) & (F.trim("value") != "")), good, "not a row of numbers")
     return body.select(*[F.col("p")[i].cast("double").alias(n) for i, n in enumerate(names)])
 
 
 def tabs_then_json(spark: SparkSession, path: str) -> DataFrame:
     """type, key, revision, last_modified and a JSON record, cut at the first four tabs."""
     p = F.split("value", "\t", 5)
-    rows = _lines(spark, path).where("value != ''").select(_or_fail(F.size(p) == 5, p, "fewer than five fields").alias("p"))
+    rows = _holding(_lines(spark, path).where("value != ''"), F.size(p) == 5, "fewer than five fields").select(p.alias("p"))
     at = lambda i: F.col("p")[i]
-    return rows.select(at(1).alias("key"), at(2).cast("long").alias("revision"), F.to_timestamp_ntz(at(3)).alias("last_modified"), at(0).alias("type"), F.parse_json(at(4)).alias("record"))
+    return whole(rows.select(at(1).alias("key"), at(2).cast("long").alias("revision"), F.to_timestamp_ntz(at(3)).alias("last_modified"), at(0).alias("type"), F.parse_json(at(4)).alias("record")))
 
 
 def tagged_games(spark: SparkSession, path: str) -> DataFrame:
@@ -104,7 +104,7 @@ def tagged_games(spark: SparkSession, path: str) -> DataFrame:
     head = F.regexp_extract("value", r"(?s)^\s*((?:\[[^\n]*\]\n)+)\n", 1)
     tags = F.map_from_arrays(F.regexp_extract_all(head, F.lit(r'\[(\w+) "([^"]*)"\]'), F.lit(1)), F.regexp_extract_all(head, F.lit(r'\[(\w+) "([^"]*)"\]'), F.lit(2)))
     moves = F.trim(F.regexp_replace(F.regexp_replace("value", r"(?s)^\s*(?:\[[^\n]*\]\n)+\n", ""), r"\s+", " "))
-    return text.select(_or_fail(head != "", tags, "a game without tags").alias("tags"), moves.alias("moves"))
+    return _holding(text, head != "", "a game without tags").select(tags.alias("tags"), moves.alias("moves"))
 
 
 def raw_json(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -114,8 +114,8 @@ def raw_json(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def json_documents(spark: SparkSession, path: str) -> DataFrame:
     """A folder of documents, region/code.json: region, code, document (VARIANT)."""
-    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("f"))
-    return rows.select(F.regexp_extract("f", r"([^/]+)/[^/]+$", 1).alias("region"), F.regexp_extract("f", r"([^/]+)\.json$", 1).alias("code"), F.parse_json("value").alias("document"))
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path, wholetext=True).select("value", F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("f"))
+    return whole(rows.select(F.regexp_extract("f", r"([^/]+)/[^/]+$", 1).alias("region"), F.regexp_extract("f", r"([^/]+)\.json$", 1).alias("code"), F.parse_json("value").alias("document")))
 
 
 def wrapped_jsonl(spark: SparkSession, path: str | list[str], wrap: int = 65_535) -> DataFrame:
@@ -155,16 +155,18 @@ def wrapped_jsonl(spark: SparkSession, path: str | list[str], wrap: int = 65_535
     return files.mapInPandas(join, "raw string").select(F.parse_json("raw").alias("record"))
 
 
+def number_in_name(path: str) -> int:
+    """The number at the end of a file's name, 0 without one."""
+    return int(m[1]) if (m := re.search(r"(\d+)\.\w+$", path)) else 0
+
+
 def piped_parts(spark: SparkSession, parts: list[tuple[str, str]], all_text: bool = False) -> DataFrame:
     """Pipe-separated files, each with its CREATE TABLE: united by name, the first type of a column
     winning. Parts are taken by the number at the end of their names."""
-    import re
-
     from ..functions.types import from_ddl
     from ..operators.union import by_name
 
-    number = lambda p: int(m[1]) if (m := re.search(r"(\d+)\.\w+$", p)) else 0
-    tables = [spark.read.csv(p, sep="|", quote="", schema=from_ddl(ddl, all_text), nullValue="null", mode="FAILFAST") for p, ddl in sorted(parts, key=lambda x: number(x[0]))]
+    tables = [strict_csv(spark, p, from_ddl(ddl, all_text), sep="|", quote="", nullValue="null") for p, ddl in sorted(parts, key=lambda x: number_in_name(x[0]))]
     return by_name(tables, first_type_wins=True)
 
 
@@ -188,44 +190,64 @@ def zipped_by_position(tables: list[DataFrame]) -> DataFrame:
     out = with_index(tables[0])
     for t in tables[1:]:
         out = out.join(with_index(t), "row_index")
-    return out.orderBy("row_index").drop("row_index")
-
+    return out.drop("row_index")
 
-def readings(spark: SparkSession, path: str) -> DataFrame:
-    """Tab-separated date, time, code, value: the value as it is, and as a number where it is one."""
-    from ..functions.scalar import is_number
 
+def readings(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Tab-separated date, time, code, value, in files named by a number at their end: patient_id, the
+    code as a number up to 255 that is written plainly, the value as it is, and as a number where it is
+    one that a double gives back. Fields may be empty; a line of another shape is refused."""
     p = F.split("value", "\t")
-    rows = _lines(spark, path).where("trim(value) != ''").select(_or_fail(F.size(p) == 4, p, "not four fields").alias("p"), F.regexp_extract("file", r"([^/]+)$", 1).alias("file"))
-    raw = F.col("p")[3]
-    return rows.select("file", F.col("p")[0].alias("date"), F.col("p")[1].alias("time"), F.col("p")[2].try_cast("int").alias("code"), F.when(is_number(F.trim(raw)), F.trim(raw).try_cast("double")).alias("value"), raw.alias("raw_value"))
-
-
-def nested_zip_csv(spark: SparkSession, path: str, folder: str) -> DataFrame:
-    """CSV files in a zip, and in zips within it, unpacked to `folder` and united by name."""
-    import os
-
+    code, raw = p[2], p[3]
+    rows = _lines(spark, path).where("trim(value) != ''")
+    rows = _holding(rows, F.size(p) == 4, "not four fields")
+    rows = _holding(rows, code.rlike("^(0|[1-9][0-9]{0,2})$") & (F.when(code.rlike("^[0-9]{1,3}$"), code.cast("int")) <= 255), "a code that is no small number")
+    number = raw.rlike(r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)$")
+    back = F.when(number, raw.cast("double")).cast("decimal(38,18)") == F.when(number, raw).cast("decimal(38,18)")
+    rows = _holding(rows, ~number | back, "a value that no double gives back")
+    who = F.regexp_extract("file", r"(\d+)[^/\d]*$", 1).cast("int")
+    return rows.select(who.alias("patient_id"), F.regexp_extract("file", r"([^/]+)$", 1).alias("file"), p[0].alias("date"), p[1].alias("time"), code.cast("int").alias("code"), F.when(number, raw.cast("double")).alias("value"), raw.alias("raw_value"))
+
+
+def nested_zip_csv(spark: SparkSession, path: str, folder: str | None = None) -> DataFrame:
+    """CSV files in a zip, and in zips within it, unpacked to `folder` (the shared one if none is given)
+    and united by name."""
     from ..operators.union import by_name
+    from ..session import put, scratch
 
-    def unpack(data: bytes) -> list[str]:
-        found = []
+    folder = folder or scratch(spark, "unzipped")
+    found: list[str] = []
+
+    def unpack(data: bytes) -> None:
         with zipfile.ZipFile(io.BytesIO(data)) as z:
             for name in sorted(z.namelist()):
                 if name.endswith(".zip"):
-                    found += unpack(z.read(name))
+                    unpack(z.read(name))
                 elif name.endswith(".csv"):
-                    to = os.path.join(folder, f"{len(os.listdir(folder)):04d}-{os.path.basename(name)}")
-                    with open(to, "wb") as f:
-                        f.write(z.read(name))
-                    found.append(to)
-        return found
+                    found.append(f"{folder}/{len(found):04d}-{name.rsplit('/', 1)[-1]}")
+                    put(spark, found[-1], z.read(name))
 
-    os.makedirs(folder, exist_ok=True)
     with open(path, "rb") as f:
-        files = unpack(f.read())
-    if not files:
+        unpack(f.read())
+    if not found:
         raise BadRecord(f"no CSV in {path}")
-    return by_name([csv(spark, f) for f in files])
+    return by_name([csv(spark, f) for f in found])
+
+
+def readings_archive(spark: SparkSession, path: str) -> DataFrame:
+    """The readings of an archive, with archives within it, of files named data-NN."""
+    from .archives import unpacked
+
+    return readings(spark, unpacked(spark, path, ["data-[0-9]*"]))
+
+
+def json_columns(spark: SparkSession, paths: str | list[str], columns: tuple[str, ...] = ("sections", "infoboxes"), most_files: int | None = None) -> DataFrame:
+    """Parquet shards united by name, with their columns of JSON text as VARIANT behind the others; SQL
+    null stays null and differs from JSON null; bad JSON fails."""
+    files = first_files([paths] if isinstance(paths, str) else paths, most_files)
+    df = spark.read.option("mergeSchema", True).parquet(*files)
+    rest = [ref(c) for c in df.columns if c not in columns]
+    return whole(df.select(*rest, *[F.parse_json(ref(c)).alias(c) for c in columns]))
 
 
 def blocklist(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -239,5 +261,5 @@ def blocklist(spark: SparkSession, path: str | list[str]) -> DataFrame:
 HANDLERS = {
     "daily_fixed_width": daily_fixed_width, "xml_rows": xml_rows, "word_vectors": word_vectors, "white_space": white_space, "after_preamble": after_preamble, "tabs_then_json": tabs_then_json,
     "tagged_games": tagged_games, "raw_json": raw_json, "json_documents": json_documents, "wrapped_jsonl": wrapped_jsonl, "piped_parts": piped_parts, "splits_from_names": splits_from_names,
-    "readings": readings, "nested_zip_csv": nested_zip_csv, "blocklist": blocklist,
+    "readings": readings, "readings_archive": readings_archive, "json_columns": json_columns, "nested_zip_csv": nested_zip_csv, "blocklist": blocklist,
 }
