@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -15,6 +16,7 @@ from ..functions.names import project, renamed
 from ..functions.types import label
 from ..operators.tighten import tighten
 from ..operators.union import by_name
+from ..session import put
 from ..sources import readers, sinks, text
 
 
@@ -24,16 +26,26 @@ class SchemaDrift(RuntimeError):
 
 @dataclass
 class Dataset:
-    """Nothing is read before it is asked for."""
+    """Nothing is read before it is asked for. With `pinned`, the files behind the table (their names,
+    lengths and times) are those of the first look: each further use checks them, and refuses to read
+    another generation."""
 
     spark: SparkSession
     name: str
     make: Callable[[], DataFrame]
+    pinned: bool = False
+    seen: dict | None = field(default=None, repr=False)
 
     def frame(self, columns: list[str] | None = None) -> DataFrame:
         df = self.make()
+        if self.pinned:
+            self.seen = readers.unchanged(df, self.seen)
         return df if columns is None else project(df, columns)
 
+    def head(self, n: int) -> DataFrame:
+        """The first n rows in the order of the input."""
+        return readers.with_index(self.frame(), "__at").orderBy("__at").limit(n).drop("__at")
+
     @property
     def columns(self) -> list[str]:
         return self.make().columns
@@ -71,8 +83,85 @@ class Dataset:
         return found
 
 
-def open_folder(spark: SparkSession, folder: str, names: list[str]) -> dict[str, Dataset]:
-    return {n: Dataset(spark, n, lambda n=n: spark.read.parquet(f"{folder}/{n}.parquet")) for n in names}
+def open_folder(spark: SparkSession, folder: str, names: list[str], pinned: bool = False) -> dict[str, Dataset]:
+    return {n: Dataset(spark, n, lambda n=n: spark.read.parquet(f"{folder}/{n}.parquet"), pinned) for n in names}
+
+
+def listed(datasets: dict[str, Dataset]) -> DataFrame:
+    """The catalog as a table: slug, columns (name and label), schema_hash, files, bytes; from schemas and
+    file listings alone, sorted by slug."""
+    spark = next(iter(datasets.values())).spark
+    rows = []
+    for slug, d in sorted(datasets.items()):
+        files = readers.unchanged(d.make())
+        rows.append((slug, d.describe(), d.schema_hash(), len(files), sum(size for size, _ in files.values())))
+    return spark.createDataFrame(rows, "slug string, columns array<struct<name:string,dtype:string>>, schema_hash string, files int, bytes long")
+
+
+def all_columns(datasets: dict[str, Dataset]) -> DataFrame:
+    """slug, name, dtype of each column of each table."""
+    return listed(datasets).selectExpr("slug", "inline(columns)")
+
+
+def selected(recipes: list[Recipe], slugs: list[str] | None = None, everything: bool = False, hydrated: bool = False, derived: str = "keep") -> list[Recipe]:
+    """The recipes asked for: those named, in that order and each once, or all in their own order, then
+    without hydrated ones unless asked for. With derived="reject" recipes with a parent are left out of
+    all, and refused by name. Every unknown name is reported, with the nearest known one."""
+    import difflib
+
+    slugs = list(slugs or ())
+    if everything == bool(slugs):
+        raise ValueError("name slugs, or ask for everything; not both, and not nothing")
+    if everything:
+        return [r for r in recipes if (not r.parent if derived == "reject" else hydrated or not r.hydrated)]
+    by = {r.slug: r for r in recipes}
+    near = lambda s: "".join(f" (did you mean {n}?)" for n in difflib.get_close_matches(s, by, 1))
+    if unknown := [s for s in slugs if s not in by]:
+        raise KeyError("; ".join(f"unknown {s}{near(s)}" for s in unknown))
+    chosen = [by[s] for s in dict.fromkeys(slugs)]
+    if derived == "reject" and (refused := [r.slug for r in chosen if r.parent]):
+        raise ValueError(f"derived from other tables: {', '.join(refused)}")
+    return chosen
+
+
+def profile_document(df: DataFrame, slug: str, sample: int | None = None) -> dict:
+    """The profile of a table, ready for JSON: numbers that are not finite are null, and credentials and
+    paths are taken out of bounds and top values."""
+    from ..functions.scalar import redacted
+    from ..operators.profile import profile
+
+    found = profile(df, sample)
+    shown = lambda c: redacted(F.col(c)).alias(c)
+    top = F.transform("top_values", lambda v: F.struct(redacted(v["value"]).alias("value"), v["count"].alias("count"))).alias("top_values")
+    made = {"min": shown("min"), "max": shown("max"), "top_values": top}
+    rows = [r.asDict(True) for r in found.select(*[made.get(c, F.col(c)) for c in found.columns]).collect()]
+    plain = lambda v: None if isinstance(v, float) and not math.isfinite(v) else v
+    return {"slug": slug, "rows": rows[0]["rows"] if rows else 0, "sample_rows": sample, "columns": [{k: plain(v) for k, v in r.items() if k != "rows" and v is not None} for r in rows]}
+
+
+def publish_profile(d: Dataset, to: str, sample: int | None = None) -> str:
+    """Writes `to`/slug/profile.json; refused if the files change while they are profiled."""
+    before = readers.unchanged(d.make())
+    document = profile_document(d.make(), d.name, sample)
+    readers.unchanged(d.make(), before)
+    return put(d.spark, f"{to}/{d.name}/profile.json", (json.dumps(document, indent=2, default=str) + "\n").encode())
+
+
+def profile_paths(slug: str, built: str, promoted: str | None = None, *frozen: str) -> list[str]:
+    """Where the profile of a table is looked for, freshest first, each once: beside the built table, then
+    among the promoted ones, then in further folders in their order."""
+    return list(dict.fromkeys([f"{built}/{slug}/profile.json", *[f"{f}/{slug}.json" for f in (promoted, *frozen) if f]]))
+
+
+def found_profile(spark: SparkSession, slug: str, built: str, promoted: str | None = None, *frozen: str) -> str | None:
+    """The first of profile_paths() that there is."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    there = lambda p: hadoop(p).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop(p))
+    return next((p for p in profile_paths(slug, built, promoted, *frozen) if there(p)), None)
+
+
+#: Name -> function(recipe) -> local paths; a recipe may name one in place of its inputs. Only these are run.
+FETCHERS: dict[str, Callable] = {}
 
 
 @dataclass(frozen=True)
@@ -91,6 +180,16 @@ class Recipe:
     rows: int | None = None
     schema: str | None = None
     parent: str | None = None
+    fetcher: str | None = None
+    hydrated: bool = False
+
+    def fetched(self) -> tuple[str, ...]:
+        """The inputs: those given, or what the fetcher brings."""
+        if self.fetcher is None:
+            return self.inputs
+        if self.fetcher not in FETCHERS:
+            raise KeyError(f"{self.slug}: no fetcher {self.fetcher}; there are {', '.join(sorted(FETCHERS)) or 'none'}")
+        return tuple(FETCHERS[self.fetcher](self))
 
     def fingerprint(self, parents: dict[str, Recipe] | None = None) -> str:
         """Of all that decides the content, the parent's included."""
@@ -99,10 +198,11 @@ class Recipe:
         return hashlib.sha256((own + (above.fingerprint(parents) if above else "")).encode()).hexdigest()
 
     def frame(self, spark: SparkSession) -> DataFrame:
+        inputs = self.fetched()
         if self.handler:
-            df = text.HANDLERS[self.handler](spark, list(self.inputs) if len(self.inputs) > 1 else self.inputs[0], **self.parameters)
+            df = text.HANDLERS[self.handler](spark, list(inputs) if len(inputs) > 1 else inputs[0], **self.parameters)
         else:
-            df = by_name([readers.read(spark, p, self.reader, **self.parameters) for p in self.inputs], self.renames)
+            df = by_name([readers.read(spark, p, self.reader, **self.parameters) for p in inputs], self.renames)
         if self.normalise:
             df = renamed(df)
         return tighten(df) if self.tight else df
@@ -115,13 +215,19 @@ class Recipe:
         return Dataset(spark, self.slug, lambda: spark.read.parquet(to))
 
 
-def recipe_faults(recipes: list[Recipe]) -> list[tuple[str, str]]:
-    """(slug, fault): repeated slugs, unknown handlers, parents that are missing or have parents."""
+def recipe_faults(recipes: list[Recipe], unused: bool = False) -> list[tuple[str, str]]:
+    """(slug, fault): repeated slugs, unknown handlers and fetchers, parents that are missing or have
+    parents. Handlers and fetchers that no recipe names have the fault "unused", under their own name, if
+    `unused` asks for them."""
     by = {r.slug: r for r in recipes}
     out = [(s, "repeated slug") for s in sorted({r.slug for r in recipes if sum(x.slug == r.slug for x in recipes) > 1})]
     out += [(r.slug, f"unknown handler {r.handler}") for r in recipes if r.handler and r.handler not in text.HANDLERS]
+    out += [(r.slug, f"unknown fetcher {r.fetcher}") for r in recipes if r.fetcher and r.fetcher not in FETCHERS]
     out += [(r.slug, f"missing parent {r.parent}") for r in recipes if r.parent and r.parent not in by]
-    return out + [(r.slug, f"parent {r.parent} has a parent") for r in recipes if r.parent in by and by[r.parent].parent]
+    out += [(r.slug, f"parent {r.parent} has a parent") for r in recipes if r.parent in by and by[r.parent].parent]
+    if unused:
+        out += [(n, "unused") for n in sorted({*text.HANDLERS, *FETCHERS} - {r.handler for r in recipes} - {r.fetcher for r in recipes})]
+    return out
 
 
 def hydrated(df: DataFrame, url: str, fetch: Callable[[str], tuple[int, str, bytes]], blocked: DataFrame | None = None) -> DataFrame:
