@@ -18,13 +18,15 @@ from ..functions import variant as V
 from ..operators import catalog as C
 from ..operators import compare as D
 from ..operators import profile as P
+from ..operators import ranges as J
 from ..operators import tighten as G
 from ..operators import union as U
-from ..session import scratch
+from ..session import put, scratch
 from ..sources import readers as R
 from ..sources import sinks
 from ..sources import text as X
 from ..streaming import windows as W
+from . import dataset as H
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 _ALL: dict[str, tuple[Callable, str | None]] = {}
@@ -86,11 +88,12 @@ def profile_lineitem(spark, t):
     return p.select("column", "null_count", number("min").alias("low"), number("max").alias("high"), F.round("mean", 6).alias("mean"), F.round("mean_length", 6).alias("mean_length"))
 
 
-@query()
+@query("\nunion all\n".join(f"""select '{n}' as "table", "column", (select count(*) from {n}) as rows, (select count(*) from {n}) - filled as null_count
+from (unpivot (select count(columns('(.*)')) as '\\1' from {n}) on columns(*) into name "column" value filled)""" for n in TABLES))
 def profile_all_tables(spark, t):
-    """Full profiles of several tables: AGG01-AGG16, SNK11's content."""
-    parts = [P.profile(t[n]).withColumn("table", F.lit(n)) for n in ("events", "orders", "embeddings", "labels")]
-    return reduce(DataFrame.unionByName, parts)
+    """Full profiles of all tables: AGG01-AGG16; the counts, which SQL states exactly."""
+    parts = [P.profile(t[n]).withColumn("table", F.lit(n)) for n in TABLES]
+    return reduce(DataFrame.unionByName, parts).select("table", "column", "rows", "null_count")
 
 
 def _histogram(name: str, table: str, column: str) -> None:
@@ -122,17 +125,26 @@ def top_values_documents_lang(spark, t):
 both("top_values_event_type", "select event_type, count(*) as n from {events} where event_type is not null group by event_type order by n desc, event_type limit 5")
 
 
-@query("select count(distinct o_custkey) >= 0 as close from orders")
+@query("select count(distinct o_custkey) as exact, true as close from orders")
 def ndv_approx_close(spark, t):
-    """AGG05: the estimate is near the exact count."""
-    r = t["orders"].agg(F.approx_count_distinct("o_custkey", 0.01).alias("a"), F.count_distinct("o_custkey").alias("e"))
-    return r.select((F.abs(F.col("a") - F.col("e")) < 0.1 * F.col("e")).alias("close"))
-
-
-both("null_counts", "select count(*) as n, count(*) - count(ts) as no_ts, count(*) - count(props) as no_props, count(*) - count(value) as no_value from {events}")
-both("min_max_mean", "select min(o_totalprice) as lo, max(o_totalprice) as hi, round(avg(cast(o_totalprice as double)), 6) as mean from {orders}")
+    """AGG05: the profile's estimate is within a tenth of the exact count."""
+    near = P.summary(t["orders"].select("o_custkey"))["ndv0"]
+    return t["orders"].agg(F.count_distinct("o_custkey").alias("exact")).withColumn("close", F.abs(F.lit(near) - F.col("exact")) < 0.1 * F.col("exact"))
+
+
+@query("\nunion all\n".join(f"select '{c}' as \"column\", count(*) as rows, count(*) - count({c}) as null_count from events" for c in ("event_id", "ts", "user_id", "event_type", "value", "props")))
+def null_counts(spark, t):
+    """AGG01, AGG02, by the profile."""
+    return P.profile(t["events"]).select("column", "rows", "null_count")
+@query("select min(o_totalprice) as lo, max(o_totalprice) as hi, round(avg(o_totalprice), 6) as mean from orders")
+def min_max_mean(spark, t):
+    """AGG03, AGG04, by the profile."""
+    return P.profile(t["orders"].select("o_totalprice")).select(F.col("min").cast("double").alias("lo"), F.col("max").cast("double").alias("hi"), F.round("mean", 6).alias("mean"))
 both("distinct_count_exact", "select count(distinct l_partkey) as parts, count(distinct l_suppkey) as suppliers from {lineitem}")
-both("bool_counts", "select count(*) filter (where toxic = 1) as yes, count(*) filter (where toxic = 0) as no, count(*) filter (where toxic is null) as unknown from {labels}")
+@query("select count(*) filter (toxic = 1) as true_count, count(*) filter (toxic = 0) as false_count, count(*) filter (toxic is null) as null_count from labels")
+def bool_counts(spark, t):
+    """AGG06, by the profile."""
+    return P.profile(t["labels"].select((F.col("toxic") == 1).alias("toxic"))).select("true_count", "false_count", "null_count")
 both("string_lengths", "select round(avg(length(text)), 6) as mean_chars, round(avg(strlen(text)), 6) as mean_bytes, max(length(text)) as longest from {documents}", "select round(avg(char_length(text)), 6) as mean_chars, round(avg(octet_length(text)), 6) as mean_bytes, cast(max(char_length(text)) as long) as longest from {documents}")
 
 
@@ -148,23 +160,26 @@ def list_lengths_fixed(spark, t):
     return P.profile(G.tighten(t["embeddings"].select("embedding"))).select("length_min", "length_max", "null_count")
 
 
-@query("select null::varchar as name, 4::bigint as null_count, false as has_top")
+@query("select null::varchar as name, count(*) as null_count, false as has_top from supplier")
 def all_null_profile(spark, t):
     """AGG16."""
-    df = spark.range(4).select(F.lit(None).cast("string").alias("x"))
+    df = t["supplier"].select(F.lit(None).cast("string").alias("x"))
     return P.profile(df).select(F.col("min").alias("name"), "null_count", F.col("top_values").isNotNull().alias("has_top"))
 
 
-@query()
+@query("select least(1000, count(*)) as n from lineitem")
 def sample_rows(spark, t):
     """SMP01: exactly n rows."""
     return P.sampled(t["lineitem"], 1000).agg(F.count("*").alias("n"))
 
 
-@query("select * from (values ('▁▄█▁')) v(line)")
+@query("""with m as (select o_orderpriority as p, month(o_orderdate) as m, count(*) as n from orders group by 1, 2), g as (select *, max(n) over (partition by p) as top from m)
+select p as priority, string_agg(substr(' ▁▂▃▄▅▆▇█', cast(round_even(n / top * 8, 0) as integer) + 1, 1), '' order by m) as line from g group by p""")
 def sparkline_counts(spark, t):
-    """VIS01: a sign for each count, by its share of the largest."""
-    return spark.createDataFrame([([1, 4, 8, 0],)], "counts array<long>").select(S.sparkline(F.col("counts")).alias("line"))
+    """VIS01: a sign for each month's count, by its share of the largest."""
+    counted = t["orders"].groupBy(F.col("o_orderpriority").alias("priority"), F.month("o_orderdate").alias("m")).agg(F.count("*").alias("n"))
+    lists = counted.groupBy("priority").agg(F.sort_array(F.collect_list(F.struct("m", "n")))["n"].alias("counts"))
+    return lists.select("priority", S.sparkline(F.col("counts")).alias("line"))
 
 
 # --- filters and aggregations ---------------------------------------------------------------------
@@ -241,7 +256,7 @@ def regression_gate(spark, t):
 both("removed_cells", "select count(*) as n from {orders} o where not exists (select 1 from {lineitem} l where l.l_orderkey = o.o_orderkey and l.l_quantity > 49)", "select count(*) as n from {orders} o left anti join (select l_orderkey from {lineitem} where l_quantity > 49) l on l_orderkey = o_orderkey")
 both("kept_cells", "select count(*) as n from {customer} c where exists (select 1 from {orders} o where o.o_custkey = c.c_custkey)", "select count(*) as n from {customer} left semi join {orders} on o_custkey = c_custkey")
 both("slug_left_join", "select s_suppkey, n_name from {supplier} left join {nation} on s_nationkey = n_nationkey")
-both("verdict_matrix", "select c.cell, r.reader, c.cell || '/' || r.reader as key from (values ('parquet'), ('orc'), ('csv')) c(cell), (values ('spark'), ('duckdb')) r(reader)", "select c.cell, r.reader, c.cell || '/' || r.reader as key from (values ('parquet'), ('orc'), ('csv')) c(cell) cross join (values ('spark'), ('duckdb')) r(reader)")
+both("verdict_matrix", "select c.cell, r.reader, count(e.event_id) as n from (select distinct event_type as cell from {events}) c cross join (select r_name as reader from {region}) r left join {events} e on e.event_type = c.cell and e.user_id % 5 = length(r.reader) % 5 group by 1, 2")
 both("deleg_theta_join", "select a.n_name as a, b.n_name as b from {nation} a join {nation} b on a.n_regionkey = b.n_regionkey and a.n_nationkey < b.n_nationkey")
 both("deleg_right_join", "select r_name, count(s_suppkey) as suppliers from {supplier} join {nation} on s_nationkey = n_nationkey right join {region} on n_regionkey = r_regionkey group by r_name")
 both("deleg_full_join", "select count(*) as n, count(c_custkey) as customers, count(s_suppkey) as suppliers from {customer} full join {supplier} on c_nationkey = s_nationkey and c_acctbal = s_acctbal")
@@ -285,11 +300,11 @@ def match_rank(spark, t):
     return t["part"].select("p_partkey", "p_name", C.match_rank(["Red"], "p_name", ["p_brand", "p_type"]).alias("rank")).orderBy("rank", "p_partkey")
 
 
-@query("select f as file from (values ('a_1.csv'), ('a_2.csv'), ('a_10.csv')) v(f)")
+@query("select 'a_' || p_partkey || '.csv' as file, cast(row_number() over (order by p_partkey) as integer) as place from part where p_partkey < 150")
 def order_by_number_in_name(spark, t):
-    """SRT06."""
-    files = spark.createDataFrame([("a_10.csv",), ("a_2.csv",), ("a_1.csv",)], "file string")
-    return files.orderBy(F.regexp_extract("file", r"(\d+)\.\w+$", 1).cast("int"))
+    """SRT06: parts of a table by the number in their names."""
+    files = [r[0] for r in t["part"].where("p_partkey < 150").selectExpr("concat('a_', p_partkey, '.csv')").collect()]
+    return spark.createDataFrame([(f, i) for i, f in enumerate(sorted(files, key=X.number_in_name), 1)], "file string, place int")
 
 
 @query("with a as (select o_orderkey as k, o_orderstatus as s, null::double as price from orders where o_orderkey % 2 = 0), b as (select o_orderkey as k, null as s, o_totalprice as price from orders where o_orderkey % 2 = 1) select k, s, price, 0 as part from a union all select k, s, price, 1 from b")
@@ -325,9 +340,9 @@ def type_plan(spark, t):
     return spark.createDataFrame(G.plan(t["lineitem"].select(*_PLAN)), "column string, label string")
 
 
-@query("select 'text' as \"column\", 'string' as label")
+@query("select 'text' as \"column\", case when count(text) > 0 then 'string' end as label from documents")
 def utf8_plan(spark, t):
-    """AGG28, STR07."""
+    """AGG28, STR07: bytes that are text throughout, and others that are not."""
     df = t["documents"].select(F.col("text").cast("binary").alias("text"), F.unhex(F.lit("ff")).alias("bad"))
     return spark.createDataFrame(G.plan(df), "column string, label string")
 
@@ -345,16 +360,20 @@ def tightened_values(spark, t):
     return df.agg(F.sum("l_linenumber").alias("lines"), F.count("*").alias("n")).withColumn("stored", F.lit(df.schema[0].dataType.simpleString()))
 
 
-@query("select * from (values ('Fare Amount ($)', 'fare_amount', 'fare_amount'), ('A-B/C', 'a_b_c', 'a_b_c'), ('  ', 'col', ''), ('x', 'x', 'x')) v(name, normalised, snake)")
+@query(r"""with n as (select distinct ' ' || p_type || ' (' || p_brand || ') /' || n_name as name from part join nation on p_partkey = n_nationkey)
+select name, coalesce(nullif(trim(regexp_replace(regexp_replace(lower(trim(name)), '\s+', '_', 'g'), '[^a-z0-9_]+', '_', 'g'), '_'), ''), 'col') as normalised,
+       trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(name)), '[ /-]', '_', 'g'), '[^a-z0-9_]', '', 'g'), '_+', '_', 'g'), '_') as snake from n""")
 def name_normalise(spark, t):
     """PRJ06, PRJ07."""
-    return spark.createDataFrame([(n, N.normalised(n), N.snake(n)) for n in ("Fare Amount ($)", "A-B/C", "  ", "x")], "name string, normalised string, snake string")
+    made = t["part"].join(t["nation"], F.col("p_partkey") == F.col("n_nationkey")).selectExpr("concat(' ', p_type, ' (', p_brand, ') /', n_name) as name").distinct()
+    return spark.createDataFrame([(r.name, N.normalised(r.name), N.snake(r.name)) for r in made.collect()], "name string, normalised string, snake string")
 
 
-@query("select * from (values (0, 'a'), (1, 'b'), (2, 'a [2]'), (3, 'a [3]'), (4, 'b [2]')) v(place, name)")
+@query("select cast(n_nationkey as integer) as place, n_regionkey || case when row_number() over (partition by n_regionkey order by n_nationkey) = 1 then '' else ' [' || row_number() over (partition by n_regionkey order by n_nationkey) || ']' end as name from nation")
 def names_unique(spark, t):
     """PRJ08."""
-    return spark.createDataFrame(list(enumerate(N.unique(["a", "b", "a", "a [3]", "b"]))), "place int, name string").select(F.col("place").cast("int").alias("place"), "name")
+    rows = t["nation"].orderBy("n_nationkey").select("n_nationkey", F.col("n_regionkey").cast("string")).collect()
+    return spark.createDataFrame(list(zip([r[0] for r in rows], N.unique([r[1] for r in rows]), strict=True)), "place int, name string")
 
 
 @query("select o_totalprice, o_orderkey from orders")
@@ -379,17 +398,22 @@ def rename_columns(spark, t):
     return t["orders"].select("o_orderkey", "o_custkey").withColumnsRenamed({"o_custkey": "customer"})
 
 
-@query("select * from (values ('l_orderkey', 'int64'), ('l_partkey', 'int64'), ('l_suppkey', 'int64'), ('l_linenumber', 'int32'), ('l_quantity', 'float64'), ('l_extendedprice', 'float64'), ('l_discount', 'float64'), ('l_tax', 'float64'), ('l_returnflag', 'string'), ('l_linestatus', 'string'), ('l_shipdate', 'timestamp[us]')) v(name, dtype)")
+#: DuckDB's names of the tables' types, as labels.
+_LABEL = "case column_type when 'BIGINT' then 'int64' when 'INTEGER' then 'int32' when 'DOUBLE' then 'float64' when 'VARCHAR' then 'string' when 'TIMESTAMP' then 'timestamp[us]' when 'FLOAT[]' then 'list<float32>' end"
+
+
+@query(f"select column_name as name, {_LABEL} as dtype from (describe lineitem)")
 def dtype_labels(spark, t):
     """CLS02, CAT02."""
     return spark.createDataFrame([(f.name, Y.label(f.dataType, f.metadata)) for f in t["lineitem"].schema], "name string, dtype string")
 
 
-@query("select * from (values ('a', 'bigint'), ('b', 'string'), ('c d', 'double'), ('e', 'date')) v(name, kind)")
+@query("select column_name as name, case column_type when 'BIGINT' then 'bigint' when 'INTEGER' then 'int' when 'DOUBLE' then 'double' when 'VARCHAR' then 'string' when 'TIMESTAMP' then 'timestamp_ntz' end as kind from (describe lineitem)")
 def ddl_schema(spark, t):
-    """SRC31's schemas."""
-    s = Y.from_ddl('CREATE TABLE t (a BIGINT, b VARCHAR(10) NOT NULL, "c d" DECIMAL(10, 2), e DATE)')
-    return spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in s], "name string, kind string")
+    """SRC31's schemas, through the statement that makes the table."""
+    words = {"bigint": "BIGINT NOT NULL", "int": "INTEGER", "double": "DECIMAL(12, 2)", "string": "VARCHAR(44)", "timestamp_ntz": "TIMESTAMP"}
+    ddl = "CREATE TABLE t (" + ", ".join(f'"{f.name}" {words[f.dataType.simpleString()]}' for f in t["lineitem"].schema) + ")"
+    return spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in Y.from_ddl(ddl)], "name string, kind string")
 
 
 # --- catalog --------------------------------------------------------------------------------------
@@ -420,12 +444,14 @@ def query_language(spark, t):
 both("regex_grep", "select p_partkey from {part} where regexp_matches(p_name, '(?i)re.*d')", "select p_partkey from {part} where p_name rlike '(?i)re.*d'")
 
 
-@query("select * from (values ('float64', 5::bigint, 2::bigint), ('int32', 3, 2), ('int64', 5, 2), ('string', 5, 3), ('timestamp[us]', 2, 2)) v(type, items, groups)")
+@query(f"""with c as ({' union all '.join(f"select '{n}' as t, column_name as c, {_LABEL} as type from (describe {n})" for n in ("lineitem", "orders", "nation"))}),
+r as (select *, row_number() over (partition by type order by t || '.' || c) as r from c)
+select type, count(*) as items, count(distinct t) as groups, string_agg(t || '.' || c, ',' order by t || '.' || c) filter (r <= 3) as examples from r group by type""")
 def type_coverage(spark, t):
-    """AGG21, AGG22."""
+    """AGG21, AGG22, SRT04."""
     rows = [(Y.label(f.dataType), f"{n}.{f.name}", n) for n in ("lineitem", "orders", "nation") for f in t[n].schema]
     df = spark.createDataFrame(rows, "type string, item string, grp string")
-    return C.examples(df, "type", "item", "grp").select("type", "items", "groups")
+    return C.examples(df, "type", "item", "grp").withColumn("examples", F.array_join("examples", ","))
 
 
 @query("select s as status, coalesce(n, 0) as n from (values ('F'), ('O'), ('P'), ('X')) v(s) left join (select o_orderstatus, count(*) as n from orders group by 1) on s = o_orderstatus")
@@ -434,7 +460,10 @@ def verdict_counts(spark, t):
     return C.status_counts(t["orders"], ["F", "O", "P", "X"], "o_orderstatus")
 
 
-both("status_rollup", "select o_orderpriority, count(*) filter (where o_orderstatus = 'F') as n, count(*) as m from {orders} group by o_orderpriority", "select o_orderpriority, count_if(o_orderstatus = 'F') as n, count(*) as m from {orders} group by o_orderpriority")
+@query("select o_orderpriority, count(*) filter (o_orderstatus = 'F') as passed, count(*) as n from orders group by o_orderpriority")
+def status_rollup(spark, t):
+    """AGG24, AGG25."""
+    return C.rollup(t["orders"], "o_orderpriority", "o_orderstatus", "F")
 
 
 @query()
@@ -444,18 +473,20 @@ def classify_columns(spark, t):
     return C.table_tags(reduce(DataFrame.unionByName, parts))
 
 
-@query("select unnest(['events', 'lineitem']) as \"table\", unnest([true, false]) as high_cardinality")
+@query("""select 'events' as "table", count(distinct event_id) * 2 >= count(*) as high_cardinality from events
+union all select 'lineitem', greatest(count(distinct l_returnflag), count(distinct l_linestatus)) * 2 >= count(*) from lineitem""")
 def high_cardinality_tables(spark, t):
-    """AGG29: most of the properties' texts, or none of the flags', are distinct."""
+    """AGG29: whether half of the values of a text are distinct."""
     ids = t["events"].select(F.col("event_id").cast("string").alias("id"))
     parts = [P.profile(df).withColumn("table", F.lit(n)) for n, df in (("events", ids), ("lineitem", t["lineitem"].select("l_returnflag", "l_linestatus")))]
     return C.high_cardinality(reduce(DataFrame.unionByName, parts))
 
 
-@query("select * from (values ('has_nested', true), ('has_timestamp', false), ('has_variant', false), ('string_heavy', false), ('wide_row', false)) v(trait, holds)")
+@query("\nunion all\n".join(f"""select '{n}' as "table", unnest(['has_nested', 'has_timestamp', 'has_variant', 'string_heavy', 'wide_row']) as trait,
+unnest([count(*) filter (column_type like '%[]') > 0, count(*) filter (column_type like 'TIMESTAMP%') > 0, false, count(*) filter (column_type = 'VARCHAR') * 2 > count(*), count(*) > 50]) as holds from (describe {n})""" for n in TABLES))
 def shape_traits(spark, t):
     """AGG30."""
-    return spark.createDataFrame(sorted(C.shape_traits(t["embeddings"]).items()), "trait string, holds boolean")
+    return spark.createDataFrame([(n, k, v) for n in TABLES for k, v in C.shape_traits(t[n]).items()], "table string, trait string, holds boolean")
 
 
 @query("select case when n_chars * 5000 < 10485760 then 'xs' when n_chars * 5000 < 104857600 then 's' when n_chars * 5000 < 1073741824 then 'm' else 'l' end as bucket, count(*) as n from documents group by 1")
@@ -479,11 +510,14 @@ def json_type_classify(spark, t):
     return t["events"].groupBy(V.json_kind(text).alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("select * from (values ('json null', false, true), ('sql null', true, false), ('value', false, false)) v(name, is_sql_null, is_json_null)")
+@query("select event_type, count(*) filter (event_id % 3 = 0) as sql_nulls, count(*) filter (event_id % 3 = 1) as json_nulls, count(*) filter (event_id % 3 = 2) as objects from events group by event_type")
 def json_nulls_distinct(spark, t):
-    """JSN04."""
-    rows = spark.createDataFrame([("json null", "null"), ("sql null", None), ("value", "1")], "name string, j string").withColumn("v", V.parse(F.col("j")))
-    return rows.select("name", F.col("v").isNull().alias("is_sql_null"), F.coalesce(F.is_variant_null("v"), F.lit(False)).alias("is_json_null"))
+    """JSN04, JSN06: variant columns are found by their type, and both nulls told apart."""
+    text = F.when(F.col("event_id") % 3 == 1, "null").when(F.col("event_id") % 3 == 2, F.col("props"))
+    df = t["events"].select("event_type", V.parse(text).alias("v"))
+    v = F.col(V.variant_columns(df)[0])
+    json = F.coalesce(F.is_variant_null(v), F.lit(False))
+    return df.groupBy("event_type").agg(F.count_if(v.isNull()).alias("sql_nulls"), F.count_if(json).alias("json_nulls"), F.count_if(v.isNotNull() & ~json).alias("objects"))
 
 
 both("signed_duration", "select o_orderkey, epoch_us(o_orderdate) - epoch_us(timestamp '1995-06-17 00:00:00') as us from {orders}", "select o_orderkey, timestampdiff(MICROSECOND, timestamp_ntz '1995-06-17 00:00:00', o_orderdate) as us from {orders}")
@@ -512,17 +546,21 @@ def iso_timestamps(spark, t):
     return t["supplier"].select("s_suppkey", S.iso_millis(F.col("s_suppkey") * 86_400_000).alias("iso"))
 
 
-@query("select * from (values ('see https://<redacted-credential>@h/x', 1), ('get http://h/?a=1&token=<redacted-credential>&b=2', 2), ('in <redacted-path> now', 3)) v(shown, k)")
+@query("""select p_partkey, 'see https://<redacted-credential>@h' || p_size || '/x?client_secret=<redacted-credential>&ok=' || p_size || '&x-amz-signature=<redacted-credential>&pwd=<redacted-credential>' as url,
+'in <redacted-path> or <redacted-path> at http://h:80' || p_size || '/@' || p_size || ' and /homer/' || p_size as path from part""")
 def redaction(spark, t):
     """STR09."""
-    raw = spark.createDataFrame([("see https://bob:pw@h/x", 1), ("get http://h/?a=1&token=abc&b=2", 2), ("in /home/bob/x.txt now", 3)], "raw string, k int")
-    return raw.select(S.redacted(F.col("raw")).alias("shown"), "k")
+    url = "concat('see https://u', p_partkey, if(p_partkey % 2 = 0, concat(':p/w', p_size), ''), '@h', p_size, '/x?client_secret=s', p_partkey, '&ok=', p_size, '&x-amz-signature=a', p_size, '&pwd=', p_partkey)"
+    path = r"concat('in /opt/app/', p_partkey, ' or C:\\Users\\bob\\', p_partkey, ' at http://h:80', p_size, '/@', p_size, ' and /homer/', p_size)"
+    raw = t["part"].selectExpr("p_partkey", f"{url} as url", f"{path} as path")
+    return raw.select("p_partkey", *[S.redacted(F.col(c)).alias(c) for c in ("url", "path")])
 
 
-@query("select * from (values ('+12', 12), ('-5', -5), ('?', 0), ('7', 7)) v(raw, n)")
+@query("select l_orderkey, l_linenumber, case when l_linenumber % 4 = 2 then null when l_linenumber % 4 = 1 then -cast(l_quantity as integer) else cast(l_quantity as integer) end as n from lineitem")
 def optional_ints(spark, t):
-    """MTH06."""
-    return spark.createDataFrame([("+12",), ("-5",), ("?",), ("7",)], "raw string").select("raw", F.coalesce(S.optional_int(F.col("raw")), F.lit(0)).alias("n"))
+    """MTH06: with and without a sign, and unknown."""
+    text = F.expr("concat(case l_linenumber % 4 when 0 then '+' when 1 then '-' else '' end, cast(l_quantity as int))")
+    return t["lineitem"].select("l_orderkey", "l_linenumber", S.optional_int(F.when(F.col("l_linenumber") % 4 == 2, "?").otherwise(text)).alias("n"))
 
 
 @query("select count(*) filter (l_quantity = l_quantity::integer) as whole, count(*) as n from lineitem")
@@ -553,12 +591,17 @@ def table_equal_changed(spark, t):
     return D.unequal_rows(t["supplier"], changed).agg(F.count("*").alias("differing"))
 
 
-@query("select * from (values ('nan', true), ('signed zero', false), ('width', true)) v(what, same)")
+@query("""select 'signed zero' as what, 2 * count(*) filter (l_discount = 0) as differing from lineitem union all select 'nan', 0 union all select 'width', 0
+union all select 'nested', 2 * count(*) filter (l_discount = 0) from lineitem""")
 def float_identity(spark, t):
-    """CMP01: NaN equals itself, zeros of unlike sign do not."""
-    one = lambda x, kind="double": spark.range(1).select(F.lit(x).cast(kind).alias("c"))
-    rows = [("nan", D.tables_equal(one(float("nan")), one(float("nan")))), ("signed zero", D.tables_equal(one(0.0), one(-0.0))), ("width", D.tables_equal(one(3, "int"), one(3, "bigint")))]
-    return spark.createDataFrame(rows, "what string, same boolean")
+    """CMP01: NaN equals itself, zeros of unlike sign do not, widths do not matter."""
+    df = t["lineitem"].select("l_orderkey", "l_linenumber", "l_discount")
+    turned = df.withColumn("l_discount", F.when(F.col("l_discount") == 0, F.lit(-0.0)).otherwise(F.col("l_discount")))
+    nan = df.withColumn("l_discount", F.when(F.col("l_discount") == 0, F.lit(float("nan"))).otherwise(F.col("l_discount")))
+    wide = df.withColumn("l_linenumber", F.col("l_linenumber").cast("bigint"))
+    nest = lambda x: x.withColumn("l_discount", F.array(F.struct(F.col("l_discount").alias("f"))))
+    pairs = (("signed zero", df, turned), ("nan", nan, nan.repartition(3)), ("width", df, wide), ("nested", nest(df), nest(turned)))
+    return reduce(DataFrame.unionAll, [D.unequal_rows(a, b).agg(F.lit(what).alias("what"), F.coalesce(F.sum("times"), F.lit(0)).alias("differing")) for what, a, b in pairs])
 
 
 @query("select o_orderkey as k from orders where o_orderstatus = 'P'")
@@ -608,13 +651,7 @@ def arrow_roundtrip(spark, t):
     with pa.ipc.new_file(sink, table.schema) as w:
         w.write_table(table)
     p = scratch(spark, "arrow")
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(p + ".arrow")
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    out = fs.create(path)
-    out.write(bytearray(sink.getvalue().to_pybytes()))
-    out.close()
-    fs.deleteOnExit(path)
+    put(spark, p + ".arrow", sink.getvalue().to_pybytes(), forget=True)
     return _trip(spark, R.arrow_ipc(spark, p + ".arrow"), t["region"])
 
 
@@ -720,13 +757,234 @@ def zipped_by_position(spark, t):
     return X.zipped_by_position([t["region"].orderBy("r_regionkey"), t["nation"].where("n_nationkey < 5").orderBy("n_nationkey").select("n_name")])
 
 
+# --- the handle, layouts and handlers ---------------------------------------------------------------
+
+
+@query("select count(*) as rows, sum(s_suppkey) as keys from supplier")
+def pinned_replay(spark, t):
+    """SRC06, SRC10: two passes over one generation of the files."""
+    d = H.open_folder(spark, t.sf_dir, ["supplier"], pinned=True)["supplier"]
+    rows = d.frame([]).count()
+    return d.frame(["s_suppkey"]).agg(F.sum("s_suppkey").alias("keys")).withColumn("rows", F.lit(rows).cast("long")).select("rows", "keys")
+
+
+@query("select n_nationkey from nation limit 7")
+def first_rows(spark, t):
+    """LIM01: by the place in the input."""
+    return H.Dataset(spark, "nation", lambda: t["nation"]).head(7).select("n_nationkey")
+
+
+@query("\nunion all\n".join(f"select '{n}' as slug, column_name as name, {_LABEL} as dtype from (describe {n})" for n in TABLES))
+def all_columns(spark, t):
+    """CAT01, CAT02: every column of every table, from the listing."""
+    return H.all_columns(H.open_folder(spark, t.sf_dir, list(TABLES)))
+
+
+@query("\nunion all\n".join(f"select '{c}' as \"column\", count(*) - count({c}) as null_count, cast(min({c}) as varchar) as low, cast(max({c}) as varchar) as high from orders" for c in ("o_orderkey", "o_custkey")))
+def profile_json(spark, t):
+    """SNK11: the published document, read back."""
+    p = scratch(spark, "profiles")
+    path = H.publish_profile(H.Dataset(spark, "orders", lambda: t["orders"]), p)
+    assert path == H.found_profile(spark, "orders", p)
+    columns = spark.read.option("multiLine", True).json(path).select(F.explode("columns").alias("c")).select("c.*")
+    return columns.where("column in ('o_orderkey', 'o_custkey')").select("column", "null_count", F.col("min").alias("low"), F.col("max").alias("high"))
+
+
+@query("select count(*) as rows, count(*) >= 1000 as more_than_one_group, true as groups_hold_at_most_500, 2 as columns_with_bounds from lineitem")
+def parquet_layout(spark, t):
+    """SNK02, SNK03: row groups end at a number of rows, and only the first columns get statistics."""
+    p = scratch(spark, "layout")
+    back = sinks.EXPORTERS["parquet"](t["lineitem"].coalesce(1), p, most_rows=500, statistics_columns=2)
+    stats = R.footers(spark, back)
+    groups = stats.groupBy("file", "row_group").agg(F.max("rows").alias("rows"), F.count("low").alias("bounds"))
+    return groups.agg(F.sum("rows").alias("rows"), (F.count("*") > 1).alias("more_than_one_group"), (F.max("rows") <= 500).alias("groups_hold_at_most_500"), F.max("bounds").cast("int").alias("columns_with_bounds"))
+
+
+@query("\nunion all\n".join(f"select '{c}' as \"column\", count(*) as rows, count(*) - count({c}) as nulls, cast(min({c}) as varchar) as low, cast(max({c}) as varchar) as high from lineitem" for c in ("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag")))
+def footer_bounds(spark, t):
+    """AGG26: over many files and row groups."""
+    p = scratch(spark, "groups")
+    t["lineitem"].repartition(3).write.options(**sinks.parquet_options(group_rows=700)).parquet(p)
+    return R.footer_summary(R.footers(spark, R.parquet(spark, p))).where("column in ('l_orderkey', 'l_partkey', 'l_linenumber', 'l_returnflag')").drop("groups", "bytes")
+
+
+@query("""select event_type, count(*) filter (event_id % 4 = 0) as sql_nulls, count(*) filter (event_id % 4 = 1) as json_nulls, sum(case when event_id % 4 > 1 then cast(json_extract(props, '$.k') as integer) end) as k,
+count(*) filter (event_id % 2 = 1) as later from events group by event_type""")
+def json_columns(spark, t):
+    """SRC32, SET05: shards whose columns differ, JSON text as VARIANT, both nulls told apart."""
+    p = scratch(spark, "shards")
+    text = F.when(F.col("event_id") % 4 == 1, "null").when(F.col("event_id") % 4 > 1, F.col("props"))
+    for odd in (0, 1):
+        part = t["events"].where(f"event_id % 2 = {odd}").select("event_type", text.alias("sections"), F.col("props").alias("infoboxes"), *([F.lit(1).alias("later")] if odd else []))
+        part.write.parquet(f"{p}/{odd}")
+    df = X.json_columns(spark, [f"{p}/0", f"{p}/1"])
+    v = F.col("sections")
+    return df.groupBy("event_type").agg(F.count_if(v.isNull()).alias("sql_nulls"), F.count_if(F.is_variant_null(v)).alias("json_nulls"), F.sum(F.variant_get(v, "$.k", "int")).alias("k"), F.count("later").alias("later"))
+
+
+@query("select reader, count(*) as n, count(*) as by_column from nation cross join (values ('csv'), ('pipes'), ('xml'), ('games'), ('json')) v(reader) group by reader")
+def good_files_count(spark, t):
+    """SRC08, SRC11, SRC15, SRC16, SRC31: readers that refuse bad records count good ones, and by one column."""
+    rows = t["nation"].orderBy("n_nationkey").select("n_nationkey", "n_name").collect()
+    made = {
+        "csv": R.csv(spark, _put(spark, "k,name\n" + "".join(f'{r[0]},"{r[1]}\nx"\n' for r in rows), ".csv"), "k int, name string"),
+        "pipes": X.piped_parts(spark, [(_put(spark, "".join(f"{r[0]}|{r[1]}\n" for r in rows), "_1.csv"), "create table t (k integer, name varchar)")]),
+        "xml": X.xml_rows(spark, _put(spark, "<rows>\n" + "".join(f'<row k="{r[0]}" name="{r[1]}" />\n' for r in rows) + "</rows>\n", ".xml"), "k int, name string"),
+        "games": X.tagged_games(spark, _put(spark, "\n".join(f'[Event "{r[0]}"]\n[White "{r[1]}"]\n\n1. e4 1-0\n' for r in rows))).withColumnRenamed("moves", "name"),
+        "json": R.jsonl(spark, _put(spark, "".join(f'{{"k": {r[0]}, "name": "{r[1]}"}}\n' for r in rows), ".json"), "k int, name string"),
+    }
+    return spark.createDataFrame([(n, df.count(), df.select("name").agg(F.count("name")).first()[0]) for n, df in made.items()], "reader string, n long, by_column long")
+
+
+@query("select n_nationkey, n_name, n_regionkey from nation")
+def duckdb_table(spark, t):
+    """SRC13."""
+    import os
+    import tempfile
+
+    import duckdb
+
+    nation = t["nation"].orderBy("n_nationkey").toArrow()  # noqa: F841  (DuckDB reads it by name)
+    with tempfile.TemporaryDirectory() as folder:
+        file = os.path.join(folder, "t.db")
+        with duckdb.connect(file) as c:
+            c.execute("create table nation as select * from nation")
+        return R.duckdb_table(spark, file, "nation", batch=10)
+
+
+@query("select n_nationkey, n_name, n_regionkey from nation")
+def nested_zip(spark, t):
+    """SRC27, ACQ06: a CSV for each region, some in a zip within the zip, unpacked to the shared folder."""
+    import io
+    import os
+    import tempfile
+    import zipfile
+
+    files: dict[int, list[str]] = {}
+    for r in t["nation"].orderBy("n_nationkey").collect():
+        files.setdefault(r.n_regionkey, ["n_nationkey,n_name,n_regionkey"]).append(f"{r.n_nationkey},{r.n_name},{r.n_regionkey}")
+    inner = io.BytesIO()
+    with zipfile.ZipFile(inner, "w") as z:
+        for k in (0, 1):
+            z.writestr(f"in/{k}.csv", "\n".join(files[k]) + "\n")
+    with tempfile.TemporaryDirectory() as folder:
+        outer = os.path.join(folder, "all.zip")
+        with zipfile.ZipFile(outer, "w") as z:
+            z.writestr("inner.zip", inner.getvalue())
+            for k in (2, 3, 4):
+                z.writestr(f"{k}.csv", "\n".join(files[k]) + "\n")
+        return X.nested_zip_csv(spark, outer).select(F.col("n_nationkey").cast("int"), "n_name", F.col("n_regionkey").cast("int"))
+
+
+@query("select lower(r_name) as region, n_nationkey::varchar as code, n_name as name from nation join region on n_regionkey = r_regionkey")
+def json_documents(spark, t):
+    """SRC28."""
+    p = scratch(spark, "documents")
+    for r in t["nation"].join(t["region"], F.col("n_regionkey") == F.col("r_regionkey")).collect():
+        put(spark, f"{p}/{r.r_name.lower()}/{r.n_nationkey}.json", f'{{"name":\n "{r.n_name}"}}'.encode())
+    return X.json_documents(spark, p).select("region", "code", F.expr("variant_get(document, '$.name', 'string')").alias("name"))
+
+
+@query("select case when event_id % 3 = 0 then 'test' else 'train' end as split, count(*) as n, count(*) filter (event_id % 3 = 2) as later from events group by 1")
+def splits_from_names(spark, t):
+    """SRC33, SET01."""
+    p, shards = scratch(spark, "shards"), []
+    for i, name in enumerate(("test-00000-of-00001", "train-00000-of-00002", "train-00001-of-00002")):
+        part = t["events"].where(f"event_id % 3 = {i}").select("event_id", *([F.lit("x").alias("later")] if i == 2 else []))
+        part.coalesce(1).write.parquet(f"{p}/{i}")
+        shards.append(_renamed(spark, f"{p}/{i}", f"{name}.parquet"))
+    return X.splits_from_names(spark, shards).groupBy("split").agg(F.count("*").alias("n"), F.count("later").alias("later"))
+
+
+def _renamed(spark: SparkSession, folder: str, name: str) -> str:
+    """The one file of a written folder, under another name."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    part = next(f.getPath() for f in fs.listStatus(path(folder)) if f.getPath().getName().startswith("part-"))
+    fs.rename(part, path(f"{folder}/{name}"))
+    return f"{folder}/{name}"
+
+
+@query("select l_orderkey, l_linenumber, epoch_us(l_shipdate) - epoch_us(o_orderdate) as duration_us from lineitem join orders on l_orderkey = o_orderkey where l_orderkey < 100")
+def trip_durations(spark, t):
+    """SRC34, DAT03, PRJ10."""
+    df = t["lineitem"].where("l_orderkey < 100").join(t["orders"], F.col("l_orderkey") == F.col("o_orderkey"))
+    return X.with_duration(df, "o_orderdate", "l_shipdate").select("l_orderkey", "l_linenumber", "duration_us")
+
+
+@query("select sha256(string_agg(r_name, chr(10) order by r_regionkey)) as sha256, cast(sum(strlen(r_name)) + count(*) - 1 as bigint) as bytes from region")
+def file_digest(spark, t):
+    """BIN02."""
+    names = [r.r_name for r in t["region"].orderBy("r_regionkey").collect()]
+    return R.file_digests(spark, _put(spark, "\n".join(names))).select("sha256", "bytes")
+
+
+@query("select p_partkey, case when p_partkey % 2 = 0 then p_name || '\ufffd' || p_size else p_name end as text from part")
+def lossy_utf8(spark, t):
+    """STR08."""
+    raw = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.col("p_name").cast("binary"), F.unhex(F.lit("ff")), F.col("p_size").cast("string").cast("binary"))).otherwise(F.col("p_name").cast("binary"))
+    return t["part"].select("p_partkey", S.lossy_text(raw).alias("text"))
+
+
+@query(f"select column_name as name, 'list<struct<...>>' as kind from (describe lineitem) where {_LABEL} is not null")
+def type_text(spark, t):
+    """STR11: shapes of structs do not matter."""
+    rows = [(f.name, S.type_text(f"list<struct<{f.name}: {Y.label(f.dataType)}, more: struct<a: list<int32>>>>")) for f in t["lineitem"].schema]
+    return spark.createDataFrame(rows, "name string, kind string")
+
+
+@query("select e.event_id, p.value as last_purchase, p.event_id as purchase from events e asof left join (select user_id, ts, max_by(value, event_id) as value, max(event_id) as event_id from events where event_type = 'purchase' group by user_id, ts) p on e.user_id = p.user_id and e.ts >= p.ts")
+def asof_join(spark, t):
+    """JON11: each event with its user's last purchase at or before it."""
+    bought = t["events"].where("event_type = 'purchase'").groupBy("user_id", "ts").agg(F.max_by("value", "event_id").alias("last_purchase"), F.max("event_id").alias("purchase"))
+    return J.asof(t["events"], bought, ["user_id"], "ts", "ts", ["last_purchase", "purchase"]).select("event_id", "last_purchase", "purchase")
+
+
+@query("""with i as (select o_orderkey as k, o_totalprice as lo, o_totalprice + (o_orderkey % 7) * (o_orderkey % 11) * 10 as hi from orders where o_orderkey % 5 = 0)
+select p_partkey, k from part join i on p_retailprice * 100 >= lo and p_retailprice * 100 < hi""")
+def interval_join(spark, t):
+    """JON11: points in intervals of any length."""
+    spans = t["orders"].where("o_orderkey % 5 = 0").selectExpr("o_orderkey as k", "o_totalprice as lo", "o_totalprice + (o_orderkey % 7) * (o_orderkey % 11) * 10 as hi")
+    return J.in_intervals(t["part"].selectExpr("p_partkey", "p_retailprice * 100 as at"), spans, "at", "lo", "hi").select("p_partkey", "k")
+
+
+@query("select min(n) as length_min, max(n) as length_max, round(avg(n), 6) as length_mean from (select count(*) as n from lineitem group by l_orderkey)")
+def map_sizes(spark, t):
+    """MAP01, by the profile."""
+    lists = t["lineitem"].groupBy("l_orderkey").agg(F.collect_list("l_quantity").alias("l"))
+    return P.profile(lists.select(F.map_from_arrays(F.sequence(F.lit(1), F.size("l")), "l").alias("m"))).select("length_min", "length_max", F.round("length_mean", 6).alias("length_mean"))
+
+
+@query("select vec_id, 9 + 8 * len(embedding) as bytes from embeddings")
+def line_wkb(spark, t):
+    """GEO01, GEO02."""
+    return t["embeddings"].select("vec_id", F.octet_length(S.line_wkb(F.col("embedding").cast("array<double>"))).cast("long").alias("bytes"))
+
+
+@query("select count(*) as n, count(*) filter (o_orderkey % 10 = 0) as refused from orders")
+def required_variant(spark, t):
+    """JSN05, JSN07: a required VARIANT column holds JSON null but no SQL null."""
+    df = t["orders"].select("o_orderkey", F.when(F.col("o_orderkey") % 10 != 0, F.parse_json(F.lit("null"))).alias("v"))
+    n = V.required(df.withColumn("v", F.coalesce("v", F.parse_json(F.lit("1")))), ["v"]).count()
+    bad = df.where("v is null").count()
+    try:
+        V.required(df, ["v"]).count()
+        bad = 0
+    except Exception as e:  # noqa: BLE001
+        bad = bad if "required column v" in str(e) else -1
+    return spark.createDataFrame([(n, bad)], "n long, refused long")
+
+
+@query("select count(*) as rows, 0::bigint as faults from supplier")
+def validated(spark, t):
+    """VAL01, VAL02: rows and schema hash as expected, prefix and all."""
+    d = H.Dataset(spark, "supplier", lambda: t["supplier"])
+    n, h = d.frame().count(), d.schema_hash()
+    faults = d.validate(n, h[:12]) + d.validate(n, h)
+    wrong = d.validate(n + 1, "0", strict=False)
+    return spark.createDataFrame([(n, len(faults) + (len(wrong) != 2))], "rows long, faults long")
+
+
 def _put(spark: SparkSession, content: str, ending: str = ".txt") -> str:
     """A small text file in the shared folder."""
-    path = scratch(spark, "text") + ending
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    out = fs.create(target)
-    out.write(bytearray(content.encode()))
-    out.close()
-    fs.deleteOnExit(target)
-    return path
+    return put(spark, scratch(spark, "text") + ending, content.encode(), forget=True)
