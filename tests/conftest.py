@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -13,7 +14,7 @@ def spark():
 
     s = session(
         "local[4]", "tests", spark__sql__shuffle__partitions="4", spark__ui__enabled="false", spark__driver__memory="4g",
-        spark__sql__warehouse__dir="/tmp/tablewright-warehouse", spark__ui__showConsoleProgress="false",
+        spark__sql__warehouse__dir=tempfile.mkdtemp(prefix="tests-"), spark__ui__showConsoleProgress="false",
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
