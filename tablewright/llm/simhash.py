@@ -198,10 +198,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 # under BANDS * ROWS hash functions: two of similarity s share a band's key with probability s^ROWS, so
 # of pairs at four fifths (1 - 0.8^ROWS)^BANDS = 2 in a million share none. Those that meet are verified
 # on their sets of hashed shingles. Equal sets are one node throughout.
+#
+# The members of a band's key are compared in one task where they are few. A key of more than CROWDED
+# members is thinned first, over all tasks: each member is compared with one pivot, and is linked to it
+# if alike. One minus the similarity is a distance, so a member at distance x of its pivot cannot be
+# linked to another that is further away than x and a link's length together. Linked members to which
+# that applies for all that are not linked leave the group, as nothing but the pivot's component is open
+# to them. Of a large group of near copies next to nothing stays.
 
 BANDS, ROWS = 25, 4
 #: Least similarity (size of the intersection by size of the union) of a link, as a fraction.
 ALIKE = (4, 5)
+#: Members of a band's key from which it is thinned, and how often at most.
+CROWDED, THINNINGS = 256, 4
 #: Odd factors of the hash functions, and of the values in a key.
 _FACTORS = np.random.default_rng(SEED).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.random.default_rng(SEED + 1).integers(0, 2**63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -301,6 +310,42 @@ def _alike(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch(forest(group))
 
 
+def _distances(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, pivot, shingles, others): how many shingles are the same, and how many there are."""
+    for b in it:
+        same, total = [], []
+        for x, y in zip(b.column(2), b.column(3), strict=True):
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            same.append(len(np.intersect1d(x, y, assume_unique=True)))
+            total.append(len(x) + len(y) - same[-1])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same, pa.int64()), pa.array(total, pa.int64())], names=["node", "pivot", "same", "total"])
+
+
+def thinned(members: DataFrame, sets: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """`members` (band, node) without those that need no further comparison, and links (a, b) found on
+    the way; `sets` (n, shingles) has the set of each node."""
+    num, den = ALIKE
+    links = []
+    for turn in range(THINNINGS):
+        chance = F.struct(F.xxhash64("node", F.lit(turn)), F.col("node").alias("pivot"))
+        groups = members.groupBy("band").agg(F.count("*").alias("size"), F.min(chance)["pivot"].alias("pivot"))
+        groups = cut(groups.where(F.col("size") > CROWDED).select(F.col("band").alias("b"), "pivot"))
+        if groups.isEmpty():
+            break
+        hot = cut(members.join(groups, F.col("band") == F.col("b")).select("band", "node", "pivot"))
+        pairs = hot.select("node", "pivot").distinct()  # groups of the same documents have the same pivot
+        pairs = pairs.join(sets, F.col("node") == F.col("n")).select("node", "pivot", "shingles")
+        pairs = pairs.join(sets.select(F.col("n").alias("m"), F.col("shingles").alias("others")), F.col("pivot") == F.col("m")).select("node", "pivot", "shingles", "others")
+        far = cut(pairs.mapInArrow(_distances, "node long, pivot long, same long, total long").selectExpr("node as x", "pivot as y", f"same * {den} >= total * {num} as linked", "1 - same / total as d"))
+        links.append(far.where("linked and x != y").select(F.col("x").alias("a"), F.col("y").alias("b")))
+        placed = hot.join(far, (F.col("node") == F.col("x")) & (F.col("pivot") == F.col("y"))).select("band", "node", "linked", "d")
+        edge = placed.where("not linked").groupBy(F.col("band").alias("e")).agg(F.min("d").alias("least"))
+        stay = placed.join(edge, F.col("band") == F.col("e"), "left").where(f"not linked or d >= least - {1 - num / den} - 1e-9")
+        rest = members.join(groups, F.col("band") == F.col("b"), "left_anti")
+        members = cut(rest.select("band", "node").unionByName(stay.select("band", "node")))
+    return members, links
+
+
 def _labelled(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
     """(doc_id, key, root): key tells rows apart by id and text, root names the component. Groups with
     the same members are verified once."""
@@ -315,8 +360,11 @@ def _labelled(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
     wanted = classes.join(members.select("node").distinct(), "node").select(F.col("node").alias("n"), F.col("key").alias("k"))
     texts = rows.join(wanted, F.col("key") == F.col("k")).select("n", "text")
     sets = cut(texts.mapInArrow(_sets(width), "n long, shingles binary").dropDuplicates(["n"]))
+    members, early = thinned(members, sets)
     met = members.join(sets, F.col("node") == F.col("n")).select("band", "node", "shingles")
     links = met.repartition("band").sortWithinPartitions("band").mapInArrow(_alike, "a long, b long")
+    for found in early:
+        links = links.unionByName(found)
     roots = cut(components(links)).withColumnsRenamed({"node": "n", "root": "r"})
     return seen.select("doc_id", "key", "node").join(roots, F.col("node") == F.col("n"), "left").select("doc_id", "key", F.coalesce("r", "node").alias("root"))
 

@@ -215,6 +215,47 @@ def test_windows_are_bounded():
     assert max(map(len, parts)) <= toxicity.WINDOW + toxicity.LONG_WORD + 1 and b"".join(parts).replace(b" ", b"").decode() == f"a{long}b"
 
 
+@pytest.mark.parametrize("turns", [1, 4])
+def test_alike_in_crowds(spark, monkeypatch, turns):
+    """Crowds about a text, chains out of it, and strangers that share its rare words, thinned or not."""
+    monkeypatch.setattr(simhash, "CROWDED", 6)
+    monkeypatch.setattr(simhash, "THINNINGS", turns)
+    rng = np.random.default_rng(12)
+    base = [f"b{i}" for i in range(240)]
+    texts = [" ".join(base)]
+    for k in range(60):
+        words = list(base)
+        for i in rng.choice(240, 1 + k % 9, replace=False):
+            words[i] = f"n{k}x{i}"
+        texts.append(" ".join(words))
+    chain = list(base)
+    for k in range(30):  # each step is alike to the one before, and less and less to the first
+        for i in range(8 * k, 8 * k + 8):
+            chain[i] = f"c{i}"
+        texts.append(" ".join(chain))
+    texts += [" ".join(base[:120] + [f"s{k}x{i}" for i in range(120)]) for k in range(20)]
+    sets = [simhash.shingle_set(t) for t in texts]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            same = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            if same * 5 >= (len(sets[a]) + len(sets[b]) - same) * 4 and root[a] != root[b]:
+                lo, hi = sorted((root[a], root[b]))
+                root = [lo if r == hi else r for r in root]
+    got = {r.doc_id: r.component_id for r in simhash.alike(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(root))
+
+
+def test_thinning_dissolves_a_crowd(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CROWDED", 20)
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(w if i != k else "x" for i, w in enumerate(words)) for k in range(100)]
+    rows = [(k, simhash._node(simhash.shingle_set(t)), simhash.shingle_set(t).tobytes()) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "k long, node long, shingles binary")
+    members, links = simhash.thinned(df.selectExpr("5L as band", "node"), df.selectExpr("node as n", "shingles"))
+    assert members.count() == 0 and sum(x.count() for x in links) == 99
+
+
 def test_stages_on_edges(spark):
     """All stages one after the other, on nulls, empty and long texts, repeated rows, and on no rows."""
     long = " ".join(f"word{i % 997} the" for i in range(20_000))
