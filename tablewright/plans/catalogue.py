@@ -466,9 +466,33 @@ def status_rollup(spark, t):
     return C.rollup(t["orders"], "o_orderpriority", "o_orderstatus", "F")
 
 
-@query()
+def _text_tag(table: str, c: str) -> str:
+    """SQL of the tag of a text column, with exact distinct counts."""
+    top = f"(select string_agg(v, ' ') from (select {c} as v from {table} where {c} is not null group by {c} order by count(*) desc, {c} limit 5))"
+    marks = " or ".join("contains(top, '" + m.replace("'", "''") + "')" for m in C.MARKS)
+    return f"""select '{table}' as "table", case when regexp_matches('{c}', '{"|".join(C.LINKS)}') then 'urls' when regexp_matches('{c}', '{"|".join(C.CODE)}') then 'code-strings'
+when regexp_matches('{c}', '{"|".join(C.PLACES)}') then 'coordinates' when ndv <= 256 and regexp_matches(lower(top), 'https?://') then 'urls' when ndv <= 256 and (starts_with(ltrim(top), '{{') or {marks}) then 'code-strings'
+when len > 80 then 'prose' when len <= 24 and (ndv <= 32 or ndv <= 256 and ndv <= 0.001 * n) then 'enums' when ndv >= 0.5 * n and len between 4 and 40 then 'identifiers' when len >= 40 then 'prose'
+when ndv > 256 then 'identifiers' else 'enums' end as tag from (select count(*) as n, count(distinct {c}) as ndv, avg(length({c})) as len, {top} as top from {table})"""
+
+
+def _number_tag(table: str, c: str, whole: bool) -> str:
+    small = "lo >= 0 and hi <= 1000000" if whole else "false"
+    return f"select '{table}', case when regexp_matches('{c}', '{'|'.join(C.AXES)}') then 'coordinates' when regexp_matches('{c}', '{'|'.join(C.MONEY)}') then 'monetary' when {small} then 'counts' else 'measurements' end from (select min({c}) as lo, max({c}) as hi from {table})"
+
+
+_TAGGED = [
+    *[_text_tag(n, c) for n, cs in (("lineitem", ("l_returnflag", "l_linestatus")), ("events", ("event_type", "props")), ("documents", ("text", "lang", "source")), ("pages", ("url", "html"))) for c in cs],
+    *[_number_tag("lineitem", c, c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")) for c in _NUMBERS],
+    *[_number_tag(n, c, c != "value") for n, cs in (("events", ("event_id", "user_id", "value")), ("documents", ("doc_id", "n_chars")), ("embeddings", ("vec_id", "label")), ("pages", ("page_id",))) for c in cs],
+    *[f"select '{n}', '{tag}'" for n, tag in (("lineitem", "timestamps"), ("events", "timestamps"), ("embeddings", "embeddings"))],
+]
+
+
+@query(f"""with c as ({' union all '.join(_TAGGED)}), g as (select "table", tag, count(*) as n from c where tag is not null group by all having tag <> 'enums' or count(*) >= 2)
+select * from (select *, cast(row_number() over (partition by "table" order by n desc, list_position({list(C.TAGS)}, tag)) as integer) as place from g) where place <= 3""")
 def classify_columns(spark, t):
-    """CLS01, AGG31."""
+    """CLS01, AGG31, SRT05."""
     parts = [P.profile(t[n]).withColumn("table", F.lit(n)) for n in ("lineitem", "events", "documents", "embeddings", "pages")]
     return C.table_tags(reduce(DataFrame.unionByName, parts))
 
@@ -692,11 +716,11 @@ def xml_rows(spark, t):
     return X.xml_rows(spark, p, "Id int, Name string, Score double")
 
 
-@query("select * from (values ('/a/1', 3::bigint, 'Ann'), ('/a/2', 1, 'Bob')) v(key, revision, name)")
+@query("select * from (values ('/a/1', 3::bigint, timestamp '2008-04-01 03:28:50.625462', 'Ann'), ('/a/2', 1, timestamp '2008-04-01 03:28:50', 'Bob')) v(key, revision, last_modified, name)")
 def tabs_then_json(spark, t):
     """SRC17, STR02."""
     p = _put(spark, '/type/author\t/a/1\t3\t2008-04-01T03:28:50.625462\t{"name": "Ann"}\n/type/author\t/a/2\t1\t2008-04-01T03:28:50\t{"name": "Bob"}\n')
-    return X.tabs_then_json(spark, p).select("key", "revision", F.expr("variant_get(record, '$.name', 'string')").alias("name"))
+    return X.tabs_then_json(spark, p).select("key", "revision", "last_modified", F.expr("variant_get(record, '$.name', 'string')").alias("name"))
 
 
 @query("select * from (values ('A', '1. e4 e5 1-0'), ('B', '1. d4 0-1')) v(white, moves)")
@@ -768,6 +792,12 @@ def pinned_replay(spark, t):
     return d.frame(["s_suppkey"]).agg(F.sum("s_suppkey").alias("keys")).withColumn("rows", F.lit(rows).cast("long")).select("rows", "keys")
 
 
+@query("\nunion all\n".join(f"select '{n}' as \"table\", count(*) as rows from {n}" for n in TABLES))
+def footer_counts(spark, t):
+    """SRC39: numbers of rows from the footers alone."""
+    return spark.createDataFrame([(n, R.row_count(spark, t[n])) for n in TABLES], "table string, rows long")
+
+
 @query("select n_nationkey from nation limit 7")
 def first_rows(spark, t):
     """LIM01: by the place in the input."""

@@ -130,11 +130,11 @@ def jsonl(spark: SparkSession, paths: str | list[str], schema: T.StructType | st
     return whole((reader.schema(schema) if schema is not None else reader).json(paths))
 
 
-def _local(files: list[str]) -> bool:
+def local(files: list[str]) -> bool:
     return all(f.startswith(("file:", "/")) for f in files)
 
 
-def _bare(file: str) -> str:
+def bare(file: str) -> str:
     from urllib.parse import unquote, urlsplit
 
     return unquote(urlsplit(file).path) if file.startswith("file:") else file
@@ -150,8 +150,8 @@ def arrow_ipc(spark: SparkSession, path: str, columns: list[str] | None = None)
     names = sorted(r["path"] for r in files.select("path").collect())
     if not names:
         raise FileNotFoundError(path)
-    mapped = _local(names)
-    opened = lambda x: pa.ipc.open_file(pa.memory_map(_bare(x)) if isinstance(x, str) else pa.py_buffer(x))
+    mapped = local(names)
+    opened = lambda x: pa.ipc.open_file(pa.memory_map(bare(x)) if isinstance(x, str) else pa.py_buffer(x))
     head = names[0] if mapped else bytes(files.orderBy("path").limit(1).select("content").first()["content"])
     widen = {pa.uint8(): pa.int16(), pa.uint16(): pa.int32(), pa.uint32(): pa.int64(), pa.uint64(): pa.decimal128(20, 0), pa.float16(): pa.float32()}
     kept = [f for f in opened(head).schema if columns is None or f.name in columns]
@@ -209,19 +209,25 @@ def footers(spark: SparkSession, df: DataFrame) -> DataFrame:
     import pyarrow.parquet as pq
 
     files = df.inputFiles()
-    if not _local(files):
+    if not local(files):
         return spark.createDataFrame([r for f in files for r in _footer_rows(f, pq.read_metadata(_tail(spark, f)))], _STATS)
     names = spark.createDataFrame([(f,) for f in files], "file string").repartition(max(1, min(64, len(files))))
     kinds = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            rows = [r for f in b.column(0).to_pylist() for r in _footer_rows(f, pq.read_metadata(_bare(f)))]
+            rows = [r for f in b.column(0).to_pylist() for r in _footer_rows(f, pq.read_metadata(bare(f)))]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=[x.split()[0] for x in _STATS.split(", ")])
 
     return names.mapInArrow(read, _STATS)
 
 
+def row_count(spark: SparkSession, df: DataFrame) -> int:
+    """Rows of the Parquet files behind `df`, from their footers."""
+    groups = footers(spark, df).groupBy("file", "row_group").agg(F.max("rows").alias("rows"))
+    return groups.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+
+
 def _tail(spark: SparkSession, file: str) -> io.BytesIO:
     """A Parquet file of nothing but its footer, which is all that is read of it."""
     context = spark.sparkContext

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import gzip
 import io
+import json
 import re
 import zipfile
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import ref
-from .readers import BadRecord, csv, first_files, refusing, strict_csv, whole, with_index
+from .readers import BadRecord, bare, csv, first_files, local, refusing, strict_csv, whole, with_index
 
 
 def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -121,38 +123,51 @@ def json_documents(spark: SparkSession, path: str) -> DataFrame:
 def wrapped_jsonl(spark: SparkSession, path: str | list[str], wrap: int = 65_535) -> DataFrame:
     """Lines of JSON of which some were cut at `wrap` bytes: a record goes on in the next line as long
     as it is no JSON by itself and a piece is exactly that long. Objects only. Files are read one for
-    each task, as compressed ones are, and in order."""
-    import json
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-
-    def join(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import gzip
-
-        for pdf in it:
-            for name, content in zip(pdf["path"], pdf["content"], strict=True):
-                data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
-                out, held = [], b""
-                for line in data.split(b"\n"):
-                    whole = held + line
-                    if not whole.strip():
-                        continue
-                    try:
-                        if not isinstance(json.loads(whole), dict):
-                            raise BadRecord(f"{name}: not an object: {whole[:200]!r}")
-                        out.append(whole.decode())
-                        held = b""
-                    except ValueError as e:
-                        if isinstance(e, BadRecord):
-                            raise
-                        if len(line) != wrap:
-                            raise BadRecord(f"{name}: bad record: {whole[:200]!r}") from None
-                        held = whole
-                if held:
-                    raise BadRecord(f"{name}: ends within a record")
-                yield pd.DataFrame({"raw": out})
-
-    return files.mapInPandas(join, "raw string").select(F.parse_json("raw").alias("record"))
+    each task, as compressed ones are, and in order: line by line where workers can open them, else as
+    one value each, which is limited to 2 GB."""
+    files = spark.read.format("binaryFile").load(path)
+    names = sorted(r["path"] for r in files.select("path").collect())
+    if mapped := local(names):
+        each = spark.createDataFrame([(n, None) for n in names], "path string, content binary").repartition(max(1, len(names)), "path")
+    else:
+        each = files.select("path", "content")
+
+    def records(name: str, lines: Iterator[bytes]) -> Iterator[str]:
+        held = b""
+        for line in lines:
+            line = line.removesuffix(b"\n")
+            whole_record = held + line
+            if not whole_record.strip():
+                continue
+            try:
+                if not isinstance(json.loads(whole_record), dict):
+                    raise BadRecord(f"{name}: not an object: {whole_record[:200]!r}")
+                yield whole_record.decode()
+                held = b""
+            except BadRecord:
+                raise
+            except ValueError:
+                if len(line) != wrap:
+                    raise BadRecord(f"{name}: bad record: {whole_record[:200]!r}") from None
+                held = whole_record
+        if held:
+            raise BadRecord(f"{name}: ends within a record")
+
+    def join(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                with open(bare(name), "rb") if mapped else io.BytesIO(content.as_py()) as raw:
+                    start = raw.read(2)
+                    raw.seek(0)
+                    out = []
+                    for r in records(name, gzip.open(raw) if start == b"\x1f\x8b" else raw):
+                        out.append(r)
+                        if len(out) == 1000:
+                            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["raw"])
+                            out = []
+                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["raw"])
+
+    return whole(each.mapInArrow(join, "raw string").select(F.parse_json("raw").alias("record")))
 
 
 def number_in_name(path: str) -> int:

@@ -255,7 +255,7 @@ def test_footers_of_another_store(spark, tmp_path, monkeypatch):
     spark.range(100).write.parquet(str(tmp_path / "t"))
     df = spark.read.parquet(str(tmp_path / "t"))
     here = sorted(map(tuple, readers.footers(spark, df).collect()))
-    monkeypatch.setattr(readers, "_local", lambda files: False)
+    monkeypatch.setattr(readers, "local", lambda files: False)
     assert sorted(map(tuple, readers.footers(spark, df).collect())) == here
 
 
