@@ -28,7 +28,7 @@ class BadRecord(ValueError):
 
 #: Spellings that the text readers take for null; fixed values.
 NULL_SPELLINGS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "N/A", "NA", "NULL", "NaN", "n/a", "nan", "null")
-_MISSING = ("vortex", "lance", "avro", "nimble", "osm_pbf", "sas_xport")
+_MISSING = ("vortex", "lance", "avro", "nimble")
 
 
 def refusing(df: DataFrame, bad: Column, message: Column) -> DataFrame:

@@ -272,9 +272,24 @@ def blocklist(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return _lines(spark, path).select(F.regexp_replace(host, r":\d+$", "").alias("host")).where("host like '%.%'").distinct()
 
 
+def map_elements(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """Nodes, ways or relations of a file of map data."""
+    from .osm import osm
+
+    return osm(spark, path, kind)
+
+
+def transport_file(spark: SparkSession, path: str) -> DataFrame:
+    """The table of a SAS transport file."""
+    from .xport import xport
+
+    return xport(spark, path)
+
+
 #: Name -> function(spark, inputs..., **parameters) -> DataFrame; recipes name them.
 HANDLERS = {
     "daily_fixed_width": daily_fixed_width, "xml_rows": xml_rows, "word_vectors": word_vectors, "white_space": white_space, "after_preamble": after_preamble, "tabs_then_json": tabs_then_json,
     "tagged_games": tagged_games, "raw_json": raw_json, "json_documents": json_documents, "wrapped_jsonl": wrapped_jsonl, "piped_parts": piped_parts, "splits_from_names": splits_from_names,
     "readings": readings, "readings_archive": readings_archive, "json_columns": json_columns, "nested_zip_csv": nested_zip_csv, "blocklist": blocklist,
+    "map_elements": map_elements, "transport_file": transport_file,
 }
