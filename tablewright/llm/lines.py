@@ -34,6 +34,8 @@ SPREAD, LONG = ((1, 15), (2, 10), (4, 5), (20, 3), (50, 2)), 20
 #: Size of a sketch (2^LG_K slots), and the relative error beyond which its estimate is trusted: three
 #: standard errors of 1.04 / 2^(LG_K / 2), and one site at least.
 LG_K, BAND = 12, 0.05
+#: Parts that the rows of a line are dealt over where its sites are counted exactly.
+SALTS = 32
 
 
 def normalised(line: Column) -> Column:
@@ -64,7 +66,10 @@ def boilerplate(lines: DataFrame, lg_k: int = LG_K, band: float = BAND) -> DataF
     width = F.greatest(F.lit(1.0), F.col("need") * band)
     est = cut(est.where(F.col("estimate") >= F.col("need") - width))
     near = est.where(F.col("estimate") <= F.col("need") + width)
-    exact = lines.join(near.select("line"), "line", "left_semi").groupBy("line").agg(F.count_distinct("site").alias("exact"))
+    # a common line is dealt over SALTS parts, and its sites meet again by line and site, each part having one row of each
+    dealt = near.select(F.col("line").alias("l"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("s"))
+    held = lines.join(dealt, (F.col("line") == F.col("l")) & (F.pmod(F.xxhash64("key", "pos"), F.lit(SALTS)) == F.col("s")), "left_semi")
+    exact = held.select("line", "site").distinct().groupBy("line").agg(F.count("*").alias("exact"))
     return est.join(exact, "line", "left").where(F.coalesce("exact", "estimate") >= F.col("need")).select("line", "first")
 
 
