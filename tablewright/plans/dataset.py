@@ -230,16 +230,21 @@ def recipe_faults(recipes: list[Recipe], unused: bool = False) -> list[tuple[str
     return out
 
 
-def hydrated(df: DataFrame, url: str, fetch: Callable[[str], tuple[int, str, bytes]], blocked: DataFrame | None = None) -> DataFrame:
-    """`df` with content and provenance of the URLs that the filter allows. `fetch` is handed in; only
-    what it returns is recorded. A blocklist joins on the host, so it may be of any size."""
+def hydrated(df: DataFrame, url: str, fetch: Callable[[str], tuple[int, str, bytes]], blocked: DataFrame | None = None, limit: int | None = None, bypass: bool = False, risk_accepted: bool = False) -> DataFrame:
+    """`df`, or its first `limit` rows, with content and provenance of the URLs that the filter allows.
+    `fetch` is handed in; only what it returns is recorded. A blocklist joins on the host, so it may be of
+    any size. To go without the filter takes both `bypass` and `risk_accepted`."""
     from ..functions.scalar import host_of, url_decision
 
+    if bypass and not risk_accepted:
+        raise ValueError("bypass fetches whatever the rows hold; accept the risk as well")
+    if limit is not None:
+        df = readers.with_index(df, "__at").orderBy("__at").limit(limit).drop("__at")
     mark = F.lit(False)
     if blocked is not None:
         df = df.withColumn("__host", host_of(F.trim(F.col(url)))).join(blocked.select(F.col("host").alias("__blocked")).distinct(), F.col("__host") == F.col("__blocked"), "left")
         mark = F.col("__blocked").isNotNull()
-    df = df.withColumn("__decision", url_decision(F.col(url), mark))
+    df = df.withColumn("__decision", url_decision(F.col(url), mark, bypass))
     df = df.drop("__host", "__blocked")
     shape = pa.struct([("http_status", pa.int16()), ("content_type", pa.string()), ("sha256", pa.binary()), ("bytes_total", pa.int32()), ("filter_decision", pa.string()), ("error", pa.string())])
 
@@ -248,7 +253,7 @@ def hydrated(df: DataFrame, url: str, fetch: Callable[[str], tuple[int, str, byt
             content, notes = [], []
             for u, d in zip(b.column(url).to_pylist(), b.column("__decision").to_pylist(), strict=True):
                 note, body = dict.fromkeys(("http_status", "content_type", "sha256", "bytes_total", "error")) | {"filter_decision": d}, None
-                if d == "allowed":
+                if u is not None and d.startswith("allowed"):
                     try:
                         note["http_status"], note["content_type"], body = fetch(u)
                         note |= {"sha256": hashlib.sha256(body).digest(), "bytes_total": len(body)}

@@ -222,6 +222,23 @@ def test_small_functions(spark):
     assert bytes(spark.sql("select array(1D, 2D, 3D, 4D) as a").select(scalar.line_wkb(F.col("a")).alias("x")).first().x) == struct.pack("<BIIdddd", 1, 2, 2, 1, 2, 3, 4)
 
 
+def test_hydrate_without_the_filter(spark):
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(["ftp://x/", None, "https://ok.example/", "https://me@bad.example/"])], "i int, url string")
+    fetch = lambda url: (200, "text/plain", url.encode())
+    with pytest.raises(ValueError, match="accept the risk"):
+        dataset.hydrated(df, "url", fetch, bypass=True)
+    got = {r.i: r for r in dataset.hydrated(df, "url", fetch, bypass=True, risk_accepted=True).collect()}
+    assert {r.provenance.filter_decision for r in got.values()} == {"allowed_bypass"} and bytes(got[0].content) == b"ftp://x/" and got[1].content is None
+    bad = spark.createDataFrame([("bad.example",)], "host string")
+    got = {r.i: r.provenance.filter_decision for r in dataset.hydrated(df, "url", fetch, bad, limit=3).collect()}
+    assert got == {0: "blocked_scheme", 1: "blocked_scheme", 2: "allowed"}
+    assert dataset.hydrated(df, "url", fetch, bad).where("i = 3").first().provenance.filter_decision == "blocked_by_host"
+
+
+def test_first_files():
+    assert readers.first_files(["b", "a", "c"], 2) == ["a", "b"] and readers.first_files(["b", "a"], None) == ["a", "b"]
+
+
 def test_samples_do_not_depend_on_the_layout(spark):
     df = spark.range(500).selectExpr("id", "map('k', id) as m", "parse_json(cast(id as string)) as v")
     take = lambda x: sorted(r.id for r in profile.sampled(x, 20).collect())
