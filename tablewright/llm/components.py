@@ -18,18 +18,18 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round turns every node's edges to larger nodes towards its smallest neighbour (large star),
     then its edges to smaller ones (small star). Minima are aggregated partially before the shuffle,
-    and the join that spreads them has plain exchanges on both sides, so a node with many edges is
-    split. Each round is written to the shared folder, as the lineage would double otherwise; what the
+    and the join that spreads them merges, with plain exchanges on both sides, so a node with many edges is
+    split and nothing is sent through the driver. Each round is written to the shared folder, as the lineage would double otherwise; what the
     round before wrote goes."""
     now = cut(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     for _ in range(MOST_ROUNDS):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+        large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         large = cut(large.distinct())
         low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(low, "u").select("u", "v", "m")
+        small = large.join(low.hint("merge"), "u").select("u", "v", "m")
         turned = small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         old, now = now, cut(turned.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         release(old, least, large, low)

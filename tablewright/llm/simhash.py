@@ -163,12 +163,13 @@ def _forests(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(fps: DataFrame, dense: int = DENSE) -> DataFrame:
     """(a, b): links that join all fingerprints (distinct longs in column fp) within MOST_BITS bits. The
-    fingerprints are dealt over all tasks first, as each becomes 66 rows."""
+    fingerprints are dealt over all tasks first, as each becomes 66 rows. Spark takes the keys to be as small as
+    the file of fingerprints and would send all of them through the driver, so the join is told to merge."""
     keys = keyed(fps.repartition(parallelism(fps.sparkSession), "fp"))
     # under a wildcard only fingerprints that differ in that bit are new to each other
     shared = keys.groupBy("wild", "part").agg(F.count("*").alias("n"), F.min("bit").alias("b0"), F.max("bit").alias("b1"))
     shared = shared.where("n > 1 and not b0 <=> b1 or n > 1 and b0 is null").selectExpr("wild as w", "part as p", "n")
-    met = keys.join(shared, (F.col("wild") == F.col("w")) & (F.col("part") == F.col("p")))
+    met = keys.join(shared.hint("merge"), (F.col("wild") == F.col("w")) & (F.col("part") == F.col("p")))
     # the bits of the other segment, by halves, for keys with too many fingerprints
     other = "if(wild < 99, shiftright(fp, 32) & 4294967295L, fp & 4294967295L)"
     fine = f"concat({_variants(f'({other})', 16, 0)}, {_variants(f'({other})', 16, 16)})"
@@ -180,15 +181,15 @@ def links(fps: DataFrame, dense: int = DENSE) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id (smallest doc_id of the component).
-    The joins on the fingerprint have plain exchanges on both sides, so that a fingerprint with a large
-    share of all documents is split."""
+    The joins merge, and those on the fingerprint have plain exchanges on both sides, so that a fingerprint
+    with a large share of all documents is split and nothing is sent through the driver."""
     docs_fp = cut(fingerprints(docs, doc_id, text, width))
     classes = cut(docs_fp.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = cut(components(links(classes.select("fp"))))
-    rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = classes.join(roots.hint("merge"), F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = cut(rooted.join(least, "root").select(F.col("fp").alias("f"), "component_id"))
-    return docs_fp.join(labels, F.col("fp") == F.col("f")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    labels = cut(rooted.join(least.hint("merge"), "root").select(F.col("fp").alias("f"), "component_id"))
+    return docs_fp.join(labels.hint("merge"), F.col("fp") == F.col("f")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 # --- documents alike in most of their shingles ------------------------------------------------------

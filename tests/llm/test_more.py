@@ -281,3 +281,20 @@ def test_spread_components_release(spark):
     components(spark.createDataFrame([(i, i + 1) for i in range(100)], "a long, b long")).count()
     assert len(set(os.listdir(folder)) - before) == 1
     assert simhash.MOST_BITS == 3
+
+
+def test_fingerprint_joins_merge(spark, monkeypatch):
+    """Spark takes 66 keys of a fingerprint to be as small as its file; no join may send them through the driver."""
+    from tablewright.llm import components
+
+    plans = []
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(simhash, "cut", noted)
+    monkeypatch.setattr(components, "cut", noted)
+    docs = spark.createDataFrame([(k, f"a b c d e f {k % 7} g h") for k in range(40)], "doc_id long, text string")
+    assert noted(simhash.near_duplicates(docs)).count() == 40
+    assert len(plans) > 6 and not [p for p in plans if "Broadcast" in p]
