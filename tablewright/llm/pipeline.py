@@ -6,8 +6,9 @@ columns of documents. Columns are those of the documents table; further ones pas
 1. quality: weak labels and a hashed linear scorer; rejected documents go.
 2. line dedup: lines on many sites stay in the first document that has them; a document that loses
    every word, as all its lines stand elsewhere, goes.
-3. near-dedup: of documents whose five-word shingles are alike to four fifths, the one with the
-   smallest doc_id stays.
+3. near-dedup: fingerprints meet by deletion variants, are joined by star contraction, and verified on sets
+   of five-word shingles; what they cannot show meets by smallest hash values and is verified likewise. Of
+   documents alike to four fifths, the one with the smallest doc_id stays.
 4. mixing: documents are repeated or left out so that the sources' words come to their targets.
 5. BPE: the ids of each document, and the digest of what they decode to.
 """

@@ -47,7 +47,11 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
         shingles = [b" ".join(words)]
     else:
         shingles = map(b" ".join, zip(*[words[i:] for i in range(width)], strict=False))
-    h = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64)
+    return majority(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that over half the hashes have, as an unsigned number; zero for none."""
     ones = np.zeros(64, np.int64)
     for part in range(0, len(h), 65_536):
         ones += np.unpackbits(h[part : part + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -194,14 +198,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 # --- documents alike in most of their shingles ------------------------------------------------------
 #
-# Three differing bits of 64 are next to nothing: of texts that share four fifths of their five-word
-# shingles, one in seven bits differs. Such documents meet by the smallest values of their shingles
-# under BANDS * ROWS hash functions: two of similarity s share a band's key with probability s^ROWS, so
-# of pairs at four fifths (1 - 0.8^ROWS)^BANDS = 2 in a million share none. Those that meet are verified
-# on their sets of hashed shingles. Equal sets are one node throughout.
+# Links are those of texts that share four fifths of their five-word shingles. They are found by the
+# method above: each distinct set of hashed shingles has a fingerprint, fingerprints meet by their
+# deletion-variant keys and are joined at MOST_BITS by star contraction, and the sets of a component of
+# fingerprints are verified exactly. Equal sets are one node throughout.
 #
-# The members of a band's key are compared in one task where they are few. A key of more than CROWDED
-# members is thinned first, over all tasks: each member is compared with one pivot, and is linked to it
+# That joins what differs in little; of texts alike to four fifths just, one bit in seven differs, and
+# no number of bits at which groups stay small would show nearly all of them. What is left is completed
+# by the smallest values of the shingles under BANDS * ROWS hash functions: two sets of similarity s
+# share a band's key with probability s^ROWS, so of pairs at four fifths (1 - 0.8^ROWS)^BANDS = 2 in a
+# million share none. Keys whose members the fingerprints have joined already go; those of the others are
+# verified as exactly.
+#
+# The members of a group (`band` below: a band's key, or a component of fingerprints) are compared in one
+# task where they are few. One of more than CROWDED members is thinned first, over all tasks: each member is compared with one pivot, and is linked to it
 # if alike. One minus the similarity is a distance, so a member at distance x of its pivot cannot be
 # linked to another that is further away than x and a link's length together. Linked members to which
 # that applies for all that are not linked leave the group, as nothing but the pivot's component is open
@@ -210,7 +220,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 BANDS, ROWS = 25, 4
 #: Least similarity (size of the intersection by size of the union) of a link, as a fraction.
 ALIKE = (4, 5)
-#: Members of a band's key from which it is thinned, and how often at most.
+#: Members of a group from which it is thinned, and how often at most.
 CROWDED, THINNINGS = 256, 4
 #: Odd factors of the hash functions, and of the values in a key.
 _FACTORS = np.random.default_rng(SEED).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -245,8 +255,9 @@ def _met(width: int):
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             sets = [shingle_set(t.as_py(), width) for t in b.column(2)]
+            fps = np.fromiter((majority(x) for x in sets), np.uint64, len(sets))
             keys = [band_keys(x).view(np.int64) if len(x) else np.zeros(0, np.int64) for x in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_node(x) for x in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "key", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_node(x) for x in sets], pa.int64()), pa.array(fps.view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "key", "node", "fp", "bands"])
 
     return batches
 
@@ -347,27 +358,51 @@ def thinned(members: DataFrame, sets: DataFrame) -> tuple[DataFrame, list[DataFr
     return members, links
 
 
+def verified(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links that join the nodes of each group of `members` (band, node) that are alike."""
+    members, early = thinned(members, sets)
+    met = members.join(sets.hint("merge"), F.col("node") == F.col("n")).select("band", "node", "shingles")
+    found = met.repartition("band").sortWithinPartitions("band").mapInArrow(_alike, "a long, b long")
+    for more in early:
+        found = found.unionByName(more)
+    return found
+
+
+def near_groups(classes: DataFrame) -> DataFrame:
+    """(band, node): nodes of `classes` (node, fp) whose fingerprints are in one component, and the smallest
+    fingerprint of it; those that no other node is with are left out."""
+    roots = cut(components(links(classes.select("fp").distinct()))).withColumnsRenamed({"node": "f", "root": "r"})
+    named = cut(classes.join(roots.hint("merge"), F.col("fp") == F.col("f"), "left").select(F.coalesce("r", "fp").alias("band"), "node"))
+    shared = named.groupBy("band").count().where("count > 1").select(F.col("band").alias("b"))
+    return cut(named.join(shared.hint("merge"), F.col("band") == F.col("b")).select("band", "node"))
+
+
+def band_groups(classes: DataFrame) -> DataFrame:
+    """(band, node): nodes of `classes` (node, bands) that share a band's key; of keys with the same members, one."""
+    keys = classes.select("node", "bands").repartition(parallelism(classes.sparkSession), "node").select("node", F.explode("bands").alias("band"))
+    groups = keys.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("n > 1")
+    groups = cut(groups.groupBy("n", "x", "lo", "hi").agg(F.min("band").alias("b")).select("b"))
+    return cut(keys.join(groups.hint("merge"), F.col("band") == F.col("b")).select("band", "node"))
+
+
 def _labelled(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
-    """(doc_id, key, root): key tells rows apart by id and text, root names the component. Groups with
-    the same members are verified once."""
+    """(doc_id, key, root): key tells rows apart by id and text, root names the component."""
     text_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), row_key(F.col(doc_id), F.col(text)).alias("key"), F.col(text).alias("text"))
-    seen = cut(rows.mapInArrow(_met(width), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, key binary, node long, bands array<long>"))
-    classes = cut(seen.groupBy("node").agg(F.min(F.struct("key", "bands")).alias("c")).select("node", "c.key", "c.bands"))
-    keys = classes.select("node", "bands").repartition(parallelism(docs.sparkSession), "node").select("node", F.explode("bands").alias("band"))
-    groups = keys.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("n > 1")
-    groups = cut(groups.groupBy("n", "x", "lo", "hi").agg(F.min("band").alias("b")).select("b"))
-    members = cut(keys.join(groups, F.col("band") == F.col("b")).select("band", "node"))
-    wanted = classes.join(members.select("node").distinct(), "node").select(F.col("node").alias("n"), F.col("key").alias("k"))
-    texts = rows.join(wanted, F.col("key") == F.col("k")).select("n", "text")
+    seen = cut(rows.mapInArrow(_met(width), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, key binary, node long, fp long, bands array<long>"))
+    classes = cut(seen.groupBy("node").agg(F.min(F.struct("key", "fp", "bands")).alias("c")).select("node", "c.*"))
+    near, banded = near_groups(classes.select("node", "fp")), band_groups(classes)
+    met = near.select("node").unionByName(banded.select("node")).distinct()
+    wanted = classes.select("node", "key").join(met.hint("merge"), "node").select(F.col("node").alias("n"), F.col("key").alias("k"))
+    texts = rows.join(wanted.hint("merge"), F.col("key") == F.col("k")).select("n", "text")
     sets = cut(texts.mapInArrow(_sets(width), "n long, shingles binary").dropDuplicates(["n"]))
-    members, early = thinned(members, sets)
-    met = members.join(sets, F.col("node") == F.col("n")).select("band", "node", "shingles")
-    links = met.repartition("band").sortWithinPartitions("band").mapInArrow(_alike, "a long, b long")
-    for found in early:
-        links = links.unionByName(found)
-    roots = cut(components(links)).withColumnsRenamed({"node": "n", "root": "r"})
-    return seen.select("doc_id", "key", "node").join(roots, F.col("node") == F.col("n"), "left").select("doc_id", "key", F.coalesce("r", "node").alias("root"))
+    first = cut(components(verified(near, sets))).withColumnsRenamed({"node": "a", "root": "b"})
+    # groups of bands that hold more than the fingerprints have joined
+    rooted = banded.join(first.hint("merge"), F.col("node") == F.col("a"), "left").select("band", F.coalesce("b", "node").alias("root"))
+    parted = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select(F.col("band").alias("p"))
+    left = cut(banded.join(parted.hint("merge"), F.col("band") == F.col("p")).select("band", "node"))
+    roots = cut(components(verified(left, sets).unionByName(first))).withColumnsRenamed({"node": "n", "root": "r"})
+    return seen.select("doc_id", "key", "node").join(roots.hint("merge"), F.col("node") == F.col("n"), "left").select("doc_id", "key", F.coalesce("r", "node").alias("root"))
 
 
 def alike(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
@@ -375,7 +410,7 @@ def alike(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: in
     `width`-word shingles are the same to four fifths or more."""
     rows = cut(_labelled(docs, doc_id, text, width))
     least = cut(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("root", "r"))
-    return rows.join(least, F.col("root") == F.col("r")).select("doc_id", "component_id")
+    return rows.join(least.hint("merge"), F.col("root") == F.col("r")).select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
@@ -384,7 +419,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     other, one stays."""
     rows = cut(_labelled(docs, doc_id, text, width))
     best = cut(rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("b")).select(F.col("root").alias("r"), F.col("b.key").alias("best")))
-    lost = rows.join(best, F.col("root") == F.col("r")).where("key != best").select(F.col("key").alias("__lost")).distinct()
+    lost = rows.join(best.hint("merge"), F.col("root") == F.col("r")).where("key != best").select(F.col("key").alias("__lost")).distinct()
     keyed = docs.withColumn("__row_key", row_key(F.col(doc_id), F.col(text)))
     keyed = keyed.where(F.col(doc_id).isNotNull()).unionByName(keyed.where(F.col(doc_id).isNull()).dropDuplicates(["__row_key"]))
-    return keyed.join(lost, F.col("__row_key") == F.col("__lost"), "left_anti").drop("__row_key")
+    return keyed.join(lost.hint("merge"), F.col("__row_key") == F.col("__lost"), "left_anti").drop("__row_key")

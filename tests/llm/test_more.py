@@ -298,3 +298,20 @@ def test_fingerprint_joins_merge(spark, monkeypatch):
     docs = spark.createDataFrame([(k, f"a b c d e f {k % 7} g h") for k in range(40)], "doc_id long, text string")
     assert noted(simhash.near_duplicates(docs)).count() == 40
     assert len(plans) > 6 and not [p for p in plans if "Broadcast" in p]
+
+
+def test_near_stage_by_fingerprints(spark, monkeypatch):
+    """Where no band shows anything: what is within three bits goes if it is alike to four fifths, and only then."""
+    monkeypatch.setattr(simhash, "band_keys", lambda x: x.sum(keepdims=True, dtype=np.uint64))
+    texts = []
+    for k in range(8):
+        words = [f"w{k}x{i}" for i in range(400)]
+        texts += [" ".join(words), " ".join(w if i != 200 else "other" for i, w in enumerate(words))]
+    words = [f"q1045x{i}" for i in range(30)]
+    texts += [" ".join(words), " ".join(w if i != 10 else "z" for i, w in enumerate(words))]  # 21 of 31 shingles
+    sets = [simhash.shingle_set(t) for t in texts]
+    within = [(simhash.majority(x) ^ simhash.majority(y)).bit_count() <= 3 for x, y in zip(sets[::2], sets[1::2], strict=True)]
+    assert sum(within[:8]) > 3 and within[8]
+    df = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    left = {r.doc_id for r in corpus_pipeline.STAGES[2][1](spark, df, "").collect()}
+    assert left == set(range(18)) - {2 * k + 1 for k in range(8) if within[k]}
